@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curve_ann, exact_topk, packing, pair_bpe, quality
+from . import chat, curve_ann, debruijn, exact_topk, packing, pair_bpe, quality
 from .common import doc_texts, table
 
 
@@ -22,6 +22,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.bpe_digests(doc_texts(table(spark, sf_dir, "documents")), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -59,6 +63,7 @@ FROM s QUALIFY rank <= 5
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_debruijn": op2_debruijn,
         "op5_quality": op5_quality,
         "op6_chat": op6_chat,
         "op7_packing": op7_packing,
