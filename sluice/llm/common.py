@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,11 +32,13 @@ def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def discard(spark: SparkSession, folder: str, *names: str) -> None:
-    """Deletes tables that materialise() wrote and that no later plan reads."""
+    """Deletes tables that materialise() wrote and that no later plan reads, and lets go of finished shuffle files."""
     jvm = spark.sparkContext._jvm
     for name in names:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()  # the context cleaner removes the files of shuffles that no object holds any more
+    jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curve_ann, debruijn, exact_topk, packing, pair_bpe, quality
+from . import chat, curve_ann, debruijn, exact_topk, jaccard, packing, pair_bpe, quality
 from .common import doc_texts, table
 
 
@@ -60,6 +60,10 @@ FROM s QUALIFY rank <= 5
 """
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": op7_packing,
         "op8_curve_ann": op8_curve_ann,
         "op9_exact_topk": op9_exact_topk,
+        "op10_jaccard": op10_jaccard,
     }
 
 
