@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curve_ann, debruijn, exact_topk, jaccard, packing, pair_bpe, quality
+from . import chat, curve_ann, debruijn, exact_topk, jaccard, ngram_trie, packing, pair_bpe, quality
 from .common import doc_texts, table
 
 
@@ -26,6 +26,10 @@ def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.trie_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_debruijn": op2_debruijn,
+        "op3_ngram_trie": op3_ngram_trie,
         "op5_quality": op5_quality,
         "op6_chat": op6_chat,
         "op7_packing": op7_packing,
