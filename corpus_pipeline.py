@@ -1,27 +1,49 @@
-"""A corpus pipeline of four stages over the training-data operators; each stage works on what the one before it kept."""
+"""A corpus pipeline of four stages over the training-data operators; each stage works on what the one before it kept.
+
+1. quality classifier: documents that it predicts as 0 go;
+2. n-gram Jaccard join: of each group of near copies the row with the smallest doc_id stays (of equal rows, one); blank
+   documents are no copies of each other and all stay;
+3. substring dedup: words that a repeated window of 35 words covers leave the text (kept words are joined by one space,
+   n_chars follows); texts without repeats stay as they are;
+4. packing: pieces of all texts in windows of 1024 tokens.
+
+Null doc_ids, texts and other columns pass through as the operators define them; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import packing, quality
+from sluice.llm import debruijn, jaccard, packing, quality
 from sluice.llm.common import doc_texts, materialise, scratch_dir, table
 from sluice.llm.queries import tokenizer_file
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as 1; the model learns from the labels of rows not held out."""
+    """The documents with a score of at least 0.5; the model learns from labels of rows that are not held out."""
     weights = quality.train_quality(docs, table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, weights).where(F.col("score") >= 0.5).drop("score")
+    return quality.keep_quality(docs, weights)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    done = debruijn.strip_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    return done.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(doc_texts(docs), tokenizer_file("byte_bpe_50k.json"))
 
 
-STAGES = [("quality classifier", classify), ("packing", pack)]
+STAGES = [("quality classifier", classify), ("n-gram Jaccard join", drop_near_copies), ("substring dedup", drop_repeats), ("packing", pack)]
 
+#: The classifier and the packer have no SQL form; tests hold every stage against brute force instead.
 ORACLE_SQL = None
 
 

@@ -240,8 +240,11 @@ def link_edges(texts: DataFrame, sets: DataFrame, folder: str, frequent: np.ndar
     return edges.unionAll(checked.where(enough(F.col("o"), F.col("na"), F.col("nb"))).select("a", "b"))
 
 
-def group_documents(docs: DataFrame, order_tokens: int = 100_000) -> DataFrame:
-    """(doc_id, sid, n_shingles, component_id) of each row of docs(doc_id, text); sid names the row's set."""
+def group_documents(docs: DataFrame, order_tokens: int = 100_000, keep_all: bool = False) -> DataFrame:
+    """(doc_id, sid, n_shingles, component_id) of each row of docs(doc_id, text); sid names the row's set.
+
+    With keep_all, the table (doc_id, th, sid, n, low) of the rows with words: low names a group, th a text.
+    """
     spark = docs.sparkSession
     folder = scratch_dir(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -256,7 +259,22 @@ def group_documents(docs: DataFrame, order_tokens: int = 100_000) -> DataFrame:
     edges = link_edges(texts, rows.where("n > 0").select("rid", "th", "sid"), folder, frequent[order], level[order])
     groups = components(edges, folder).select(F.col("u").alias("sid"), F.col("v").alias("low"))
     # sets without links are groups of their own; blank texts link with nothing, so their row is its own group
-    named = materialise(rows.join(groups, "sid", "left").select("doc_id", "sid", "n", F.coalesce("low", "sid").alias("low")), folder, "named")
+    named = materialise(rows.join(groups, "sid", "left").select("doc_id", "th", "sid", "n", F.coalesce("low", "sid").alias("low")), folder, "named")
+    if keep_all:
+        return named.where("n > 0")
     first = named.where("n > 0").groupBy("low").agg(F.min("doc_id").alias("first"))
     full = named.where("n > 0").join(first, "low").select("doc_id", "sid", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
     return full.unionAll(named.where("n = 0").select("doc_id", "sid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without near copies: of each group the row with the smallest doc_id stays, once.
+
+    Rows without any word all stay. Columns and their order are those of docs; nulls count after all ids.
+    """
+    named, own = group_documents(docs, keep_all=True), docs.columns
+    keep = named.groupBy("low").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "th")).alias("at")).select(F.col("at.doc_id").alias("__id"), F.col("at.th").alias("__th"))
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x09-\\x0D\\x20]+", " ")) == ""
+    met = rows.where(~blank).join(keep.withColumnsRenamed({"__id": "k_id", "__th": "k_th"}), F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th")), "left_semi")
+    return met.dropDuplicates(["__id", "__th"]).select(*own).unionAll(rows.where(blank).select(*own))

@@ -119,18 +119,26 @@ def train_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = 1
     return fit_nnpu(np.array(pos), np.array(unl), prior)
 
 
-def score_quality(documents: DataFrame, weights: np.ndarray) -> DataFrame:
-    """documents with `score` (0 to 1) of each whole text."""
+def scorer(weights: np.ndarray):
     w = weights.astype(np.float64)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        x = np.array([features(t or "") for t in texts]).reshape(len(texts), WIDTH)
+    def run(texts):
         import pandas as pd
 
+        x = np.array([features(t or "") for t in texts]).reshape(len(texts), WIDTH)
         return pd.Series(0.5 * (1 + np.tanh((x @ w[:-1] + w[-1]) / 2)))
 
-    return documents.withColumn("score", score(F.col("text")))
+    return F.pandas_udf(run, "double")
+
+
+def score_quality(documents: DataFrame, weights: np.ndarray) -> DataFrame:
+    """documents with `score` (0 to 1) of each whole text; a column of that name is replaced."""
+    return documents.withColumn("score", scorer(weights)(F.col("text")))
+
+
+def keep_quality(documents: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The rows, with their own columns, whose score is at least 0.5."""
+    return documents.where(scorer(weights)(F.col("text")) >= 0.5)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, **params) -> DataFrame:
