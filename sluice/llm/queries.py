@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curve_ann, debruijn, exact_topk, jaccard, ngram_trie, packing, pair_bpe, quality
+from . import chat, curve_ann, debruijn, exact_topk, jaccard, licenses, ngram_trie, packing, pair_bpe, quality
 from .common import doc_texts, table
 
 
@@ -30,6 +30,13 @@ def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.trie_scores(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: a document counts as the file source/lang/doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_debruijn": op2_debruijn,
         "op3_ngram_trie": op3_ngram_trie,
+        "op4_licenses": op4_licenses,
         "op5_quality": op5_quality,
         "op6_chat": op6_chat,
         "op7_packing": op7_packing,
