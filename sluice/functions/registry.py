@@ -56,7 +56,7 @@ log | dd | d | case when {{a}} < 0 or {{b}} < 0 then double('NaN') when {{a}} =
 log10 | d | d | case when {{a}} < 0 then double('NaN') when {{a}} = 0 then double('-Infinity') else log10({{a}}) end
 log1p | d | d | case when {{a}} < -1 then double('NaN') when {{a}} = -1 then double('-Infinity') else log1p({{a}}) end
 log2 | d | d | case when {{a}} < 0 then double('NaN') when {{a}} = 0 then double('-Infinity') else log2({{a}}) end
-mod | dd | d | pmod({{a}}, abs(nullif({{b}}, 0)))
+mod | dd | d | pmod({{a}}, abs(nullif({{b}}, 0))) + 0D
 nanvl | dd | d | nanvl({{a}}, {{b}})
 pi | | d | pi()
 positive | X | =0 | {{a}} | null
