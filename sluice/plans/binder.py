@@ -67,7 +67,7 @@ class Binder:
         sql, kind = self.value(op, args)
         nulls = " or ".join(f"({a.sql}) is null" for a in args)
         if op == "-" and len(args) == 2:  # null minus null is null, no error
-            nulls = f"({args[0].sql}) is null <> ({args[1].sql}) is null"
+            nulls = f"(({args[0].sql}) is null) <> (({args[1].sql}) is null)"
         missing = op in ("[]", ".")
         own = f"case when {nulls} then {L.quote(f'{op}: null operand')} " + ("" if missing else f"when not ({' or '.join(f'({a.sql}) is null' for a in args)}) and ({sql}) is null then {L.quote(f'{op} failed')} ") + "end"
         return Ex(sql, kind, first([*(a.err for a in args), own]))
