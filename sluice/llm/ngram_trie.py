@@ -7,7 +7,7 @@ successors of v; an unseen context leaves p(w). The context of a document's firs
 The trie is cut into shards by context (successors of very frequent contexts, named from a bounded sample, are spread over
 several shards). A shard has levels in one compact buffer: sorted context ids, monotone pointers to the successors of each
 context, successor ids relative to their context (monotone because the context's rank stands above them), each as
-Elias-Fano sequences, and the discounted counts quantised to 8 bits on a log scale. A query finds the context, then the
+Elias-Fano sequences, and the discounted counts quantised to 16 bits on a partly geometric scale. A query finds the context, then the
 successor by search inside the context's range only. The buffer is an anonymous memory map, so levels are read in place.
 
 Data flow: texts are dealt to blocks by hash. Each block sends every distinct unigram and bigram once to its shard, with
@@ -103,13 +103,13 @@ class EliasFano:
             at[live] += 1
 
 
-#: Discounted counts of the 8-bit codes: exact for small counts, then a geometric scale. Code 0: not in the trie.
-LEVELS = np.concatenate([[0.0], np.arange(1, 65) - DISCOUNT, 64 * np.exp(np.arange(1, 192) * 0.1) - DISCOUNT])
+#: Discounted counts of the 16-bit codes: exact up to 32768, then a geometric scale. Code 0: not in the trie.
+LEVELS = np.concatenate([[0.0], np.arange(1, 32769) - DISCOUNT, 32768 * np.exp(np.arange(1, 32768) * 6e-4) - DISCOUNT])
 
 
 def quantise(count: np.ndarray) -> np.ndarray:
     middle = (LEVELS[1:-1] + LEVELS[2:]) / 2
-    return (np.searchsorted(middle, count - DISCOUNT) + 1).astype(np.uint8)
+    return (np.searchsorted(middle, count - DISCOUNT) + 1).astype(np.uint16)
 
 
 class Trie:
@@ -119,7 +119,7 @@ class Trie:
         self.contexts = EliasFano(buffer, 0)
         self.pointers = EliasFano(buffer, self.contexts.end)
         self.successors = EliasFano(buffer, self.pointers.end)
-        self.codes = np.frombuffer(buffer, np.uint8, self.successors.n, self.successors.end)
+        self.codes = np.frombuffer(buffer, np.uint16, self.successors.n, self.successors.end)
 
     @staticmethod
     def dump(context: np.ndarray, successor: np.ndarray, count: np.ndarray) -> bytes:
@@ -135,8 +135,8 @@ class Trie:
         return Trie(m)
 
     def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """8-bit codes of the bigrams, 0 where absent."""
-        out = np.zeros(len(context), dtype=np.uint8)
+        """Codes of the bigrams, 0 where absent."""
+        out = np.zeros(len(context), dtype=np.uint16)
         if not self.contexts.n:
             return out
         rank = self.contexts.find(context)
@@ -280,8 +280,8 @@ def score_block(shards: int, hot: np.ndarray, hot_fanout: np.ndarray, total: int
         keys = BlockKeys(tokens, lens, shards, hot)
         by_shard = sorted(answers.to_pylist(), key=lambda r: r["shard"])
         joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in by_shard), kind)
-        c, fan, codes = np.empty(len(keys.words)), np.empty(len(keys.words)), np.empty(len(keys.ctx), dtype=np.uint8)
-        c[keys.word_order], fan[keys.word_order], codes[keys.pair_order] = joined("counts", np.uint32), joined("fanout", np.uint32), joined("codes", np.uint8)
+        c, fan, codes = np.empty(len(keys.words)), np.empty(len(keys.words)), np.empty(len(keys.ctx), dtype=np.uint16)
+        c[keys.word_order], fan[keys.word_order], codes[keys.pair_order] = joined("counts", np.uint32), joined("fanout", np.uint32), joined("codes", np.uint16)
         if len(hot):  # successors of spread contexts lie in several shards: their sums came separately
             at = np.minimum(np.searchsorted(hot, keys.words), len(hot) - 1)
             fan = np.where(hot[at] == keys.words, hot_fanout[at], fan)

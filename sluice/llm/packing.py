@@ -16,6 +16,7 @@ table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import gc
 import heapq
 import zlib
@@ -31,7 +32,7 @@ from .pair_bpe import byte_alphabet
 
 #: The public word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 300_000
+CACHE_CHUNKS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -123,7 +124,7 @@ class Packer:
 
 
 class CachedEncoder:
-    """Ids of whole texts as packed little-endian uint32, word by word from a bounded cache.
+    """Ids of whole texts as packed little-endian uint32, chunk by chunk from a bounded cache.
 
     New words are merged by tiktoken from the ranks in the same file (the id order of its vocabulary), which is faster
     for single words; texts that hold an added token go to the tokenizers library as a whole.
@@ -147,27 +148,40 @@ class CachedEncoder:
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
+    def chunk(self, text: str) -> bytes:
+        return b"".join(self.packed(self.piece(w.encode("utf-8", "surrogatepass"))) for w in self.words.findall(text))
+
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words, cache = self.words.findall(text), self.cache
+        if "  " in text:
+            return self.chunk(text)
+        # a single space opens the word after it, so the pattern breaks before every one of them
+        first, *rest = text.split(" ")
+        cache, head = self.cache, self.chunk(first)
         try:
-            return b"".join(map(cache.__getitem__, words))
+            return head + b"".join(map(cache.__getitem__, rest))
         except KeyError:
-            if len(cache) > CACHE_WORDS:
+            if len(cache) > CACHE_CHUNKS:
                 cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = self.packed(self.piece(w.encode("utf-8", "surrogatepass")))
-            return b"".join(map(cache.__getitem__, words))
+            for c in rest:
+                if c not in cache:
+                    cache[c] = self.chunk(" " + c)
+            return head + b"".join(map(cache.__getitem__, rest))
+
+
+@functools.cache
+def encoder_of(path: str) -> CachedEncoder:
+    """One for each worker process, so that its cache outlives a task."""
+    return CachedEncoder(path)
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, piece: int = 128, pool: int = 128, fill: float = 0.998) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, piece: int = 256, pool: int = 128, fill: float = 0.995) -> DataFrame:
     """Pieces of docs(doc_id, text) with their places in sequences; see SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        encoder, end = CachedEncoder(path), CachedEncoder.packed([end_id])
+        encoder, end = encoder_of(path), CachedEncoder.packed([end_id])
         packer = Packer(capacity, piece, pool, fill, TaskContext.get().partitionId() << 40)
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):

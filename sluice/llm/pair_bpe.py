@@ -12,6 +12,7 @@ as the tokenizers library has it; repeated doc_ids give one row each; other colu
 
 from __future__ import annotations
 
+import functools
 import gc
 import hashlib
 import heapq
@@ -188,12 +189,18 @@ class PairBpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+@functools.cache
+def bpe_of(path: str) -> PairBpe:
+    """One for each worker process, so that its cache outlives a task."""
+    return PairBpe(path)
+
+
 def encode_batches(path: str, block_chars: int = 12_000_000):
     """Arrow batches (doc_id, text) to (doc_id, tokenizer, ids), in blocks of about block_chars of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], PairBpe, list[list[int]]]]:
         gc.disable()  # only acyclic lists and tuples are made, and many of them
-        bpe = PairBpe(path)
+        bpe = bpe_of(path)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             at = size = 0

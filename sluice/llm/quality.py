@@ -6,8 +6,8 @@ part falls below zero, its gradient step is reversed. The class prior pi is esti
 rows. Features of a text: frequencies of adjacent byte-class pairs (letter case, digits, white space, kinds of marks) and
 shape ratios (repeated lines and words, word and line length); every byte of every text counts.
 
-Bounded samples (parameters): at most `max_labelled` labelled rows and `max_unlabelled` other rows, both taken by a hash
-of doc_id. Scoring covers every row.
+Bounded samples (parameters): about `max_labelled` labelled rows and `max_unlabelled` other rows at most, drawn row by row
+with a fixed seed. Scoring covers every row.
 
 Defined cases: a null text is an empty text, which gets the score of its (all zero) features; rows without a label or a
 doc_id teach nothing as positives; repeated doc_ids give one row each; with no positive label the score is the prior,
@@ -59,7 +59,7 @@ def features(text: str) -> np.ndarray:
 
 def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(x.as_py() or "").tolist() for x in b.column(1)], pa.list_(pa.float64()))], ["kind", "x"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(x.as_py() or "").tolist() for x in b.column(1)], pa.list_(pa.float32()))], ["kind", "x"])
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.03, decay: float = 1e-5) -> np.ndarray:
@@ -100,9 +100,9 @@ def train_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = 1
     """Weights of the model; rows held out (crc32 of doc_id mod 3 is 1) give no labels."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality").where(~held_out_sql(3, 1))
     n, total = known.count(), documents.count()
-    pick = lambda share: F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0
-    known = known.where(pick(max(1, -(-n // max_labelled)))).limit(2 * max_labelled).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    got = [(r["doc_id"], r["quality"]) for r in known.collect()]  # at most 2 * max_labelled rows
+    part = lambda most, all_rows: min(1.0, most / max(1, all_rows))
+    known = known.sample(part(max_labelled, n), 7).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    got = [(r["doc_id"], r["quality"]) for r in known.collect()]  # about max_labelled rows at most
     prior = min(0.98, float(np.mean([q for _, q in got]))) if got else 0.5
     trusted = [d for d, q in got if q == 1]
     if not trusted:
@@ -110,9 +110,8 @@ def train_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = 1
     spark = documents.sparkSession
     ids = F.broadcast(spark.createDataFrame([(d,) for d in trusted], "doc_id long"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    share = max(1, -(-total // max_unlabelled))
-    some = texts.where(pick(share)).limit(2 * max_unlabelled).select(F.lit(0).alias("kind"), "text")
-    rows = texts.join(ids, "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text").unionAll(some).mapInArrow(feature_rows, "kind int, x array<double>")
+    some = texts.sample(part(max_unlabelled, total), 7).select(F.lit(0).alias("kind"), "text")
+    rows = texts.join(ids, "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text").unionAll(some).mapInArrow(feature_rows, "kind int, x array<float>")
     pos, unl = [], []
     for r in rows.toLocalIterator():
         (pos if r["kind"] else unl).append(np.array(r["x"], dtype=np.float32))
