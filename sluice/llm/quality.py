@@ -105,8 +105,9 @@ def train_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = 1
     got = [(r["doc_id"], r["quality"]) for r in known.collect()]  # about max_labelled rows at most
     prior = min(0.98, float(np.mean([q for _, q in got]))) if got else 0.5
     trusted = [d for d, q in got if q == 1]
+    untaught = np.concatenate([np.zeros(WIDTH), [np.log(max(prior, 1e-6) / (1 - prior))]])
     if not trusted:
-        return np.concatenate([np.zeros(WIDTH), [np.log(max(prior, 1e-6) / (1 - prior))]])
+        return untaught
     spark = documents.sparkSession
     ids = F.broadcast(spark.createDataFrame([(d,) for d in trusted], "doc_id long"))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -115,7 +116,7 @@ def train_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = 1
     pos, unl = [], []
     for r in rows.toLocalIterator():
         (pos if r["kind"] else unl).append(np.array(r["x"], dtype=np.float32))
-    return fit_nnpu(np.array(pos), np.array(unl), prior)
+    return fit_nnpu(np.array(pos), np.array(unl), prior) if pos and unl else untaught
 
 
 def scorer(weights: np.ndarray):

@@ -211,7 +211,7 @@ def test_trie():
 
 
 def test_licenses(spark, empty):
-    files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x.py", "code"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0.\nrest of it"), (4, "a/b/c/z.py", "more"), (5, "d/e.py", "nothing"), (6, None, None),
+    files = [(1, "a/LICENSE", "Released under the MIT License."), (2, "a/x.py", "code"), (3, "a/b/y.py", "# Licensed under the Apache License, Version 2.0.\n" + "rest of it " * 20), (4, "a/b/c/z.py", "more"), (5, "d/e.py", "nothing"), (6, None, None),
              (7, "a/b/COPYING", "notes\nThis work is licensed under the GNU General Public License, version 3.\n" + "other words here " * 20), (8, "a2/x", "the the under"), (2, "a/x.py", "code")]
     df = spark.createDataFrame(files, "doc_id long, path string, text string").withColumn("dir", F.lit(1))
     got = sorted(((r.doc_id, r.declared, r.license, r.inherited_from, r.is_license_file) for r in licenses.scan_licenses(df).collect()), key=str)
