@@ -233,3 +233,22 @@ def test_datetimes(spark):
     df = spark.createDataFrame([(datetime(2020, 1, 2, 3),)], "t timestamp")
     got = rows(Engine(spark, 'q(t) | project later = t > "2020-01-01", s = string(t);').run("q", df))
     assert got == [(datetime(2020, 1, 2, 3), True, "2020-01-02 03:00:00")]
+
+
+def test_registered_queries_have_their_columns(spark):
+    """Every registered query compiles; its DuckDB text names the same columns."""
+    import duckdb
+
+    import __spark_entry__
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    oracle = __spark_entry__.oracle_sql()
+    from sluice.queries import QUERIES
+
+    for name, q in QUERIES.items():
+        got = q(spark, d)
+        if name in oracle:
+            assert sorted(got.columns) == sorted(c[0] for c in con.execute(oracle[name] + " LIMIT 0" if "LIMIT" not in oracle[name] else oracle[name]).description), name
