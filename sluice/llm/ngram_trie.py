@@ -91,16 +91,18 @@ class EliasFano:
     def find(self, x: np.ndarray) -> np.ndarray:
         """The index of each x by successor search, -1 where it is absent."""
         h = x >> U(self.bits)
-        at, end = np.searchsorted(self.high, h, side="left"), np.searchsorted(self.high, h, side="right")
-        want, out, live = x & U((1 << self.bits) - 1), np.full(len(x), -1, dtype=np.int64), np.arange(len(x))
-        while True:
-            live = live[at[live] < end[live]]
-            if not len(live):
-                return out
-            got = self.lows(at[live])
-            out[live[got == want[live]]] = at[live[got == want[live]]]
-            live = live[got < want[live]]
-            at[live] += 1
+        low, end = np.searchsorted(self.high, h, side="left"), np.searchsorted(self.high, h, side="right")
+        want, high, live = x & U((1 << self.bits) - 1), end.copy(), np.flatnonzero(low < end)
+        while len(live):  # bisection over the low bits of one high part
+            middle = (low[live] + high[live]) >> 1
+            less = self.lows(middle) < want[live]
+            low[live] = np.where(less, middle + 1, low[live])
+            high[live] = np.where(less, high[live], middle)
+            live = live[low[live] < high[live]]
+        out, on = np.full(len(x), -1, dtype=np.int64), np.flatnonzero(low < end)
+        on = on[self.lows(low[on]) == want[on]]
+        out[on] = low[on]
+        return out
 
 
 #: Discounted counts of the 16-bit codes: exact up to 32768, then a geometric scale. Code 0: not in the trie.
