@@ -153,7 +153,9 @@ def repeated_spans(docs: DataFrame, folder: str, window: int = 35, anchor: int =
     rows = keyed(docs)
     blocks = materialise(rows.mapInArrow(compact(window, anchor), "rid long, th long, start int, n int, anchor long, path long"), folder, "blocks")
     often = blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("path").alias("low"), F.max("path").alias("high")).where("c > 1")
-    shared = materialise(blocks.join(often.select("anchor", (F.col("low") != F.col("high")).alias("branch")), "anchor"), folder, "shared")
+    # written first, so that both sides of the join are plain exchanges and a hot anchor's rows can be split
+    often = materialise(often.select("anchor", (F.col("low") != F.col("high")).alias("branch")), folder, "often")
+    shared = materialise(blocks.join(often, "anchor"), folder, "shared")
     discard(spark, folder, "blocks")
     straight, fork = shared.where("not branch"), shared.where("branch")
     variants = materialise(fork.groupBy("anchor", "path").agg(F.count("*").alias("c"), F.min(F.struct("rid", "th", "start", "n")).alias("at")), folder, "variants")
