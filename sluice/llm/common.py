@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
 import uuid
@@ -15,19 +16,22 @@ MASK64 = (1 << 64) - 1
 U = np.uint64
 
 
+@functools.cache
+def local_folder() -> str:
+    """One folder of this machine, for sessions without a cluster."""
+    return "file://" + tempfile.mkdtemp(prefix="sluice-")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that setting is unset (tests), a local folder is made and set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A new folder below spark.checkpoint.dir; only where that setting is unset (tests), below a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or local_folder()
     return f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and rereads it, which cuts the lineage."""
     path = f"{folder}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
