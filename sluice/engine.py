@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from . import __version__
 from .functions.registry import FUNCTIONS
-from .operators.stages import ROW, Flow, apply, err_name, needs_errors, needs_rows
+from .operators.stages import ROW, Flow, OrderNeeded, apply, err_name, needs_errors, needs_rows
 from .plans import syntax as S
 from .plans import types as L
 from .plans.syntax import PipelineError, parse, show_pipeline
@@ -108,8 +108,15 @@ class Engine:
         return df, {"columns": columns, "types": types}, errors
 
     def flow(self, name: str, df: DataFrame, validation: str = "lenient", track: bool = False, order_by: str | None = None) -> Flow:
+        rows = needs_rows(self.pipeline(name).stages) or order_by is not None
+        try:
+            return self.bound(name, df, validation, track, order_by, rows)
+        except OrderNeeded:
+            return self.bound(name, df, validation, track, order_by, True)
+
+    def bound(self, name: str, df: DataFrame, validation: str, track: bool, order_by: str | None, rows: bool) -> Flow:
         p = self.pipeline(name)
-        rows, track = needs_rows(p.stages) or order_by is not None, track or needs_errors(p.stages)
+        track = track or needs_errors(p.stages)
         df, bound, errors = self.input(p, df, validation)
         extra = [f"array(cast({ident(order_by)} as bigint)) as {ident(ROW)}" if order_by else f"array(monotonically_increasing_id()) as {ident(ROW)}"] if rows else []
         errs = [f"{e.err} as {ident(err_name(n))}" for n, e in errors.items()] if track else []

@@ -57,10 +57,14 @@ class Flow:
 def needs_rows(stages: tuple) -> bool:
     """Whether any stage depends on the order of rows."""
     def one(s) -> bool:
-        return isinstance(s, S.Summarize) and any(a.function in ORDERED or a.function == "sum" for a in s.aggregates)
+        return isinstance(s, S.Summarize) and any(a.function in ORDERED for a in s.aggregates)
     return any(one(s) for s in stages)
 
 
+class OrderNeeded(Exception):
+    """A sum of texts was met in a flow without row ids; types are known only once an input is bound."""
+
+
 def needs_errors(stages: tuple) -> bool:
     """Whether results depend on which cells are errors: ignore-error, or a null test after a computed column."""
     computed = False
@@ -177,7 +181,10 @@ def summarize(flow: Flow, s: S.Summarize) -> Flow:
     for a in s.aggregates:
         if a.name in aggs or a.name in keys:
             raise PipelineError(f"summarize: the column {a.name} exists")
-        aggs[a.name] = aggregate(a.function, [binder.bind(x) for x in a.args], row)
+        args = [binder.bind(x) for x in a.args]
+        if a.function == "sum" and args and args[0].type == L.STRING and not flow.rows:
+            raise OrderNeeded
+        aggs[a.name] = aggregate(a.function, args, row)
     errs, tracked = flow.companions(aggs)
     # keys become columns of their own names first, so that an expression key is evaluated once
     inner = flow.df.selectExpr("*", *(f"{e.sql} as {ident(f'__key_{n}')}" for n, e in keys.items()))
