@@ -75,6 +75,31 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+hit AS (SELECT r, i FROM win WHERE g IN (SELECT g FROM win GROUP BY g HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, i + k AS p FROM hit CROSS JOIN range(0, 35) t(k)),
+each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM each ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+e AS (SELECT r, unnest(s) AS g FROM s),
+both_ AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+link AS (SELECT x, y FROM both_ JOIN s a ON a.r = x JOIN s b ON b.r = y WHERE 100 * c >= 80 * (len(a.s) + len(b.s) - c)),
+reach AS (SELECT r, r AS t FROM s UNION SELECT reach.r, y FROM reach JOIN link ON x = t)
+SELECT a.doc_id, CAST(len(a.s) AS BIGINT) AS n_shingles, min(b.doc_id) AS component_id
+FROM reach JOIN s a ON a.r = reach.r JOIN s b ON b.r = reach.t GROUP BY reach.r, a.doc_id, len(a.s)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -91,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.SQL, "op9_exact_topk": OP9_SQL}
+    return {"op2_debruijn": OP2_SQL, "op6_chat": chat.SQL, "op9_exact_topk": OP9_SQL, "op10_jaccard": OP10_SQL}
