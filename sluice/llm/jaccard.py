@@ -9,8 +9,8 @@ entries, is skipped when sizes or positions leave too little room for the overla
 
 Answer level. A set joins the family of a highly similar hub (the set that shares most of its tokens with others), and its
 exact overlap and difference to the hub are computed. What the hub's answer says about other members follows from these:
-members that link to the hub are one group already; two members share at most the smaller of their overlaps with the hub
-plus the tokens that both differences hold, so only pairs that pass this bound are compared. Families meet other families
+members that link to the hub are one group already; two members share at most the smaller of their overlaps with a
+reference (the hub and the differences' common tokens) plus the other tokens that both hold, so only pairs that pass this bound are compared. Families meet other families
 as a whole, and single sets of two families only when the families can't be told apart. So dense groups cost a row for
 each member, not for each pair, and no link between different sets is lost: every skipped pair is bounded below 0.8, or
 its two sets are in one group by other links.
@@ -179,13 +179,15 @@ def link_edges(texts: DataFrame, sets: DataFrame, folder: str, frequent: np.ndar
     """(a, b): links that connect the distinct sets as all links would. texts(rid, th, text), sets(rid, th, sid)."""
     spark = texts.sparkSession
     entries = materialise(texts.select("text").mapInArrow(prefixes(frequent, level), "token long, sid long, n int, pos int"), folder, "entries")
-    lists = entries.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
-    met = materialise(entries.join(lists, "token").groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("df").alias("df")), folder, "met")
+    lists = entries.groupBy("token").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("token")
+    met = materialise(entries.join(lists, "token").groupBy("token", "sid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), folder, "met")
     discard(spark, folder, "entries")
 
     # families: the hub of a list is its most connected set; a set takes the hub that it shares most prefix tokens with
+    met = met.join(met.groupBy("token").agg(F.count("*").alias("df")), "token")
     weight = met.groupBy("sid").agg((F.sum("df") / prefix_size(F.first("n"))).alias("w"))
     weighted = materialise(met.join(weight, "sid"), folder, "weighted")
+    met = weighted.select("token", "sid", "n", "pos")
     hubs = weighted.groupBy("token").agg(F.max(F.struct("w", "sid", "n")).alias("hub"))
     near = weighted.join(hubs, "token").where((F.col("hub.sid") != F.col("sid")) & (F.struct("w", "sid") < F.struct("hub.w", "hub.sid")) & (2 * F.col("n") >= F.col("hub.n")) & (2 * F.col("hub.n") >= F.col("n")))
     near = near.groupBy("sid", F.col("hub.sid").alias("hub")).agg(F.count("*").alias("c"), F.first("n").alias("n"), F.max("hub.w").alias("w"))
@@ -198,17 +200,38 @@ def link_edges(texts: DataFrame, sets: DataFrame, folder: str, frequent: np.ndar
     bodies = texts.join(wanted.select("sid", F.col("at.rid").alias("rid"), F.col("at.th").alias("th")), ["rid", "th"]).groupBy("rid", "th").agg(F.first("sid").alias("sid"), F.first("text").alias("text"))
     bodies = materialise(bodies.select("sid", "text"), folder, "bodies")
 
+    linked = enough(F.col("o"), F.col("na"), F.col("nb"))
+
     def overlaps(pairs: DataFrame, name: str) -> DataFrame:
         x, y = bodies.select(F.col("sid").alias("a"), F.col("text").alias("ta")), bodies.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
         both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "ta", "tb")
         return materialise(both.mapInArrow(compare, "a long, b long, na int, nb int, o int, diff array<long>"), folder, name)
 
-    stars = overlaps(rooted.select(F.col("sid").alias("a"), F.col("hub").alias("b")), "stars").withColumn("linked", enough(F.col("o"), F.col("na"), F.col("nb")))
-    members = stars.where(2 * F.col("o") >= F.least("na", "nb")).select(F.col("a").alias("sid"), F.col("b").alias("hub"), F.col("na").alias("n"), "o", "linked")
-    edges = stars.where("linked").select("a", "b")
-
-    # inside a family: two members share at most the smaller overlap with the hub plus what both differences hold
-    parts = stars.where(2 * F.col("o") >= F.least("na", "nb")).select(F.col("a").alias("sid"), F.col("b").alias("hub"), F.col("na").alias("n"), "o", "linked", F.explode("diff").alias("token"))
+    first = overlaps(rooted.select(F.col("sid").alias("a"), F.col("hub").alias("b")), "first")
+    edges = first.where(linked).select("a", "b")
+
+    # a family moves to the member that is nearest to what most members hold, if that is not its hub yet
+    close = first.where(2 * F.col("o") >= F.least("na", "nb"))
+    size = close.groupBy("b").agg(F.count("*").alias("m"), F.first("nb").alias("hub_n")).where("m >= 4")
+    held = close.select("a", "b", F.explode("diff").alias("token"))
+    usual = held.groupBy("b", "token").agg(F.count("*").alias("c")).join(size, "b").where("2 * c >= m").select("b", "token", F.lit(1).alias("u"))
+    score = held.join(usual, ["b", "token"], "left").groupBy("a", "b").agg(F.sum(F.coalesce(3 * F.col("u"), F.lit(0)) - 1).alias("s"))
+    centre = close.join(score, ["a", "b"], "left").groupBy("b").agg(F.max(F.struct((F.col("o") + F.coalesce("s", F.lit(0))).alias("s"), "a")).alias("x"))
+    centre = materialise(centre.join(size, "b").where(F.col("x.s") > F.col("hub_n")).select("b", F.col("x.a").alias("c")), folder, "centre")
+    again = close.select("a", "b").unionAll(centre.select(F.col("b").alias("a"), "b")).join(centre, "b").where("a <> c").select("a", F.col("c").alias("b"))
+    second = overlaps(again, "second")
+    stars = close.join(centre, "b", "left_anti").unionByName(second.where(2 * F.col("o") >= F.least("na", "nb")))
+    edges = edges.unionAll(second.where(linked).select("a", "b"))
+
+    # inside a family: its reference is the hub and each token that 8 or more differences hold; two members share at most
+    # the smaller overlap with the reference plus what both have besides it
+    each = stars.select("a", F.col("b").alias("hub"), F.explode("diff").alias("token"))
+    often = each.groupBy("hub", "token").agg(F.count("*").alias("c"))
+    each = materialise(each.join(often, ["hub", "token"]), folder, "each")
+    more = each.where("c >= 8").groupBy(F.col("a").alias("sid"), "hub").agg(F.count("*").alias("more"))
+    members = stars.select(F.col("a").alias("sid"), F.col("b").alias("hub"), F.col("na").alias("n"), "o", linked.alias("linked")).join(more, ["sid", "hub"], "left")
+    members = materialise(members.select("sid", "hub", "n", (F.col("o") + F.coalesce("more", F.lit(0))).cast("int").alias("o"), "linked"), folder, "members")
+    parts = each.where("c between 2 and 7").select(F.col("a").alias("sid"), "hub", "token").join(members, ["sid", "hub"])
     bound = lambda extra: enough(F.least("x.o", "y.o") + extra, F.col("x.n"), F.col("y.n"))
     one = (~F.col("x.linked")) & (F.col("y.linked") | (F.col("x.sid") < F.col("y.sid")))
     shared = parts.alias("x").join(parts.alias("y"), (F.col("x.hub") == F.col("y.hub")) & (F.col("x.token") == F.col("y.token")) & one & (5 * F.col("x.n") >= 4 * F.col("y.n")) & (5 * F.col("y.n") >= 4 * F.col("x.n")))
