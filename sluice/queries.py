@@ -80,9 +80,11 @@ QUERIES: dict[str, Query] = {
     "take_ordered": Query("orders", "(o_orderkey as long, o_orderstatus as string) | take 25;", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 25", order_by="o_orderkey"),
     "top_desc": Query("orders", "(o_orderkey as long, o_totalprice as double) | top 20 by o_orderkey;", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC NULLS LAST LIMIT 20"),
     "top_asc_nulls_first": Query("orders", "(o_orderkey as long) | project k = if(o_orderkey < 10, null, o_orderkey) | where (o_orderkey > 8) | top 20 by coalesce(k, 0 - o_orderkey) asc nulls first;", "SELECT o_orderkey, CASE WHEN o_orderkey < 10 THEN NULL ELSE o_orderkey END AS k FROM orders WHERE o_orderkey > 8 ORDER BY coalesce(CASE WHEN o_orderkey < 10 THEN NULL ELSE o_orderkey END, -o_orderkey) LIMIT 20"),
+    "top_asc_nulls_first_all": Query("orders", "(o_orderkey as long) | project k = if(o_orderkey < 10, null, o_orderkey) | top 20 by k asc nulls first;", "SELECT o_orderkey, CASE WHEN o_orderkey < 10 THEN NULL ELSE o_orderkey END AS k FROM orders ORDER BY k ASC NULLS FIRST LIMIT 20"),
     "distinct_rows": Query("lineitem", "(l_returnflag as string, l_linestatus as string) | distinct;", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
     "distinct_by": Query("customer", CUST + "| distinct by c_nationkey, big = c_acctbal > 5000;", "SELECT DISTINCT c_nationkey, c_acctbal > 5000 AS big FROM customer"),
     "explode": Query("embeddings", "(vec_id as long, embedding as array) | where vec_id < 100 | explode embedding as double | project-rename x = embedding;", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 100"),
+    "explode_all": Query("embeddings", "(vec_id as long, embedding as array) | explode embedding as double | project-rename x = embedding;", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"),
     "mv_expand_split": Query("part", PART + '| project word = split(p_name, " ") | mv-expand word | project-keep p_partkey, word;', "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part"),
     "ignore_error": Query("events", EV + "| project n = int(event_type), d = value / (user_id % 3) | project-remove n | ignore-error | project-keep event_id;", "SELECT event_id FROM events WHERE user_id % 3 <> 0 AND value IS NOT NULL"),
     "error_cells_null": Query("events", EV + "| project d = 10 div (user_id % 3), bad = int(event_type) | project-keep event_id, d, bad;", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(10 // (user_id % 3) AS BIGINT) END AS d, CAST(NULL AS INTEGER) AS bad FROM events"),
