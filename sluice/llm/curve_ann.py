@@ -9,8 +9,9 @@ Fit: means, deviations and splitters come from at most `sample_rows` rows chosen
 indexed. The window is `window` of all rows on each curve, which holds recall at every size, also on vectors without
 any structure. Work is thus queries x rows x window x curves; a smaller window makes it cheaper where vectors cluster.
 
-Rows with equal vectors beyond the first k + 1 (by vec_id) can't be among a query's k nearest, so they are left out
-before the index; this is exact and frees the ranges of hot vectors.
+Repeated rows (equal vec_id and vector) count once, and of equal vectors the ids beyond the first k + 1 (by vec_id) can't
+be among a query's k nearest, so they are left out before the index; this is exact and frees the ranges of hot vectors.
+Of an id with several vectors the nearest counts; a range keeps k distinct ids.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; only vectors of
 one length are compared; an empty table gives an empty result; a query leaves out rows with its own vec_id.
@@ -120,7 +121,7 @@ def assign(fit: Fit, reach: int, query: bool):
 
 
 def rerank(k: int):
-    """The k nearest of each query in one range, by exact cosine."""
+    """The k nearest ids of each query in one range, by exact cosine."""
 
     def run(t: pa.Table) -> pa.Table:
         b = t.combine_chunks().to_batches()
@@ -136,11 +137,16 @@ def rerank(k: int):
                     me = ids[qi[at + i]]
                     row[ids[ci] == me] = -np.inf
                     take = min(len(row), k + 16)
-                    near = np.argpartition(-row, take - 1)[:take]
-                    near = np.flatnonzero(row >= row[near].min() - 1e-12) if take < len(row) else near
-                    near = near[row[near] > -np.inf]
+                    while True:
+                        near = np.argpartition(-row, take - 1)[:take]
+                        near = np.flatnonzero(row >= row[near].min() - 1e-12) if take < len(row) else near
+                        near = near[row[near] > -np.inf]
+                        if take == len(row) or len(set(ids[ci[near]].tolist())) >= k:
+                            break
+                        take = min(len(row), 4 * take)  # some ids have several vectors here
                     exact = (m[ci[near]] * q[i]).sum(axis=1)  # one order of summation, so equal vectors tie exactly
-                    top = near[np.lexsort((ids[ci[near]], -exact))][:k]
+                    near = near[np.lexsort((ids[ci[near]], -exact))]
+                    top = near[np.sort(np.unique(ids[ci[near]], return_index=True)[1])[:k]]
                     exact = (m[ci[top]] * q[i]).sum(axis=1)
                     for col, x in zip(out, ([me] * len(top), [curve] * len(top), ids[ci[top]].tolist(), exact.tolist()), strict=True):
                         col.extend(x)
@@ -162,7 +168,7 @@ def curve_neighbours(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     for dim, p in sample.items():
         fit.learn(dim, np.array(p))
     copies = Window.partitionBy("v").orderBy("vec_id")
-    distinct = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
+    distinct = rows.select("vec_id", "v").distinct().withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
     reach = max(1, round(window * fit.tiles / 2 - 0.5))
     schema = "dim int, curve int, tile int, kind int, vec_id long, v array<double>"
     met = distinct.mapInArrow(assign(fit, reach, False), schema).unionAll(q.mapInArrow(assign(fit, reach, True), schema))
