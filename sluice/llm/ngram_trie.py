@@ -1,21 +1,22 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-The model is a word model of order 2 with absolute discounting over an add-one base:
-p(w | v) = (c(v, w) - D) / c(v) + D * N(v) / c(v) * p(w), p(w) = (c(w) + 1) / (N + V + 1), where N(v) counts the distinct
-successors of v; an unseen context leaves p(w). The context of a document's first word is the end token.
+The model is a word model of a given order n with absolute discounting, interpolated down to an add-one base:
+p(w | u) = (c(u, w) - D) / c(u) + D * N(u) / c(u) * p(w | u'), p(w) = (c(w) + 1) / (N + V + 1), where u are the n - 1 words
+before w, u' is u without its first word, c(u) sums the counts of u's successors and N(u) counts the distinct ones; an
+unseen context leaves p(w | u'). Before a document's first word stand end tokens.
 
-The trie is cut into shards by context (successors of very frequent contexts, named from a bounded sample, are spread over
+The trie holds contexts of 1 to n - 1 words. It is cut into shards by context (successors of very frequent contexts, named from a bounded sample, are spread over
 several shards). A shard has levels in one compact buffer: sorted context ids, monotone pointers to the successors of each
-context, successor ids relative to their context (monotone because the context's rank stands above them), each as
+context, running sums of the contexts' counts, successor ids relative to their context (monotone because the context's rank stands above them), each as
 Elias-Fano sequences, and the discounted counts quantised to 16 bits on a partly geometric scale. A query finds the context, then the
 successor by search inside the context's range only. The buffer is an anonymous memory map, so levels are read in place.
 
-Data flow: texts are dealt to blocks by hash. Each block sends every distinct unigram and bigram once to its shard, with
+Data flow: texts are dealt to blocks by hash. Each block sends every distinct n-gram of each order once to its shard, with
 the count in training rows; the shard sums the counts of all blocks, builds its trie, and answers each block in the order
-of its keys; blocks meet their answers and score every text. Both block and shard counts grow with the input. Hot words
-travel once a block, so no key gathers more than one entry from each block.
+of its keys; blocks meet their answers and score every text. Both block and shard counts grow with the input and the
+order. Hot n-grams travel once a block, so no key gathers more than one entry from each block.
 
-Ids are 64-bit hashes of words (40 bits for successors within one context). Defined cases: a null text is the end token
+Ids are 64-bit hashes of words and contexts (40 bits for successors within one context). Defined cases: a null text is the end token
 alone; a null doc_id is a training row; repeated rows are counted and scored each; without training rows every token has
 p = 1; extra columns are ignored.
 """
@@ -115,20 +116,22 @@ def quantise(count: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels below the root, in one buffer."""
+    """Contexts of every length and their successors, in one buffer."""
 
     def __init__(self, buffer):
         self.contexts = EliasFano(buffer, 0)
         self.pointers = EliasFano(buffer, self.contexts.end)
-        self.successors = EliasFano(buffer, self.pointers.end)
+        self.sums = EliasFano(buffer, self.pointers.end)
+        self.successors = EliasFano(buffer, self.sums.end)
         self.codes = np.frombuffer(buffer, np.uint16, self.successors.n, self.successors.end)
 
     @staticmethod
     def dump(context: np.ndarray, successor: np.ndarray, count: np.ndarray) -> bytes:
-        """From bigrams in order of (context, successor), each once."""
+        """From n-grams in order of (context, successor), each once."""
         head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.empty(0, dtype=np.int64)
         rank = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [len(context)]])))
-        return EliasFano.dump(context[head]) + EliasFano.dump(np.concatenate([head, [len(context)]]).astype(np.uint64)) + EliasFano.dump((rank.astype(np.uint64) << U(SUCC_BITS)) | successor) + quantise(count).tobytes()
+        ends, sums = np.concatenate([head, [len(context)]]), np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        return EliasFano.dump(context[head]) + EliasFano.dump(ends.astype(np.uint64)) + EliasFano.dump(sums[ends].astype(np.uint64)) + EliasFano.dump((rank.astype(np.uint64) << U(SUCC_BITS)) | successor) + quantise(count).tobytes()
 
     @staticmethod
     def mapped(data: bytes) -> Trie:
@@ -136,25 +139,33 @@ class Trie:
         m.write(data)
         return Trie(m)
 
-    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of the bigrams, 0 where absent."""
-        out = np.zeros(len(context), dtype=np.uint16)
-        if not self.contexts.n:
-            return out
-        rank = self.contexts.find(context)
+    def rank(self, context: np.ndarray) -> np.ndarray:
+        """The place of each context, -1 where absent."""
+        return self.contexts.find(context) if self.contexts.n else np.full(len(context), -1, dtype=np.int64)
+
+    def codes_at(self, rank: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Codes of successors of ranked contexts, 0 where absent."""
+        out = np.zeros(len(rank), dtype=np.uint16)
         on = np.flatnonzero(rank >= 0)
-        at = self.successors.find((rank[on].astype(np.uint64) << U(SUCC_BITS)) | successor[on])
-        out[on[at >= 0]] = self.codes[at[at >= 0]]
+        if len(on):
+            at = self.successors.find((rank[on].astype(np.uint64) << U(SUCC_BITS)) | successor[on])
+            out[on[at >= 0]] = self.codes[at[at >= 0]]
+        return out
+
+    def lookup(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Codes of the n-grams, 0 where absent."""
+        return self.codes_at(self.rank(context), successor)
+
+    @staticmethod
+    def spans(level: EliasFano, rank: np.ndarray) -> np.ndarray:
+        out, on = np.zeros(len(rank), dtype=np.int64), rank >= 0
+        if on.any():
+            out[on] = (level.get(rank[on] + 1) - level.get(rank[on])).astype(np.int64)
         return out
 
     def fanout(self, context: np.ndarray) -> np.ndarray:
         """Distinct successors of each context."""
-        out = np.zeros(len(context), dtype=np.int64)
-        if self.contexts.n:
-            rank = self.contexts.find(context)
-            on = rank >= 0
-            out[on] = (self.pointers.get(rank[on] + 1) - self.pointers.get(rank[on])).astype(np.int64)
-        return out
+        return self.spans(self.pointers, self.rank(context))
 
 
 # ---- blocks ----
@@ -170,46 +181,64 @@ def streams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), lens
 
 
+def contexts(tokens: np.ndarray, lens: np.ndarray, order: int) -> np.ndarray:
+    """[order - 1, tokens] ids of the 1, 2, ... tokens before each token; end tokens stand before each text."""
+    at = np.arange(len(tokens)) - np.repeat(np.cumsum(lens) - lens, lens)
+    out: list[np.ndarray] = []
+    with np.errstate(over="ignore"):
+        for d in range(1, order):
+            back = np.full(len(tokens), END, dtype=np.uint64)
+            back[d:] = np.where(at[d:] >= d, tokens[: max(0, len(tokens) - d)], U(END))
+            out.append(mix(out[-1] * U(0x9E3779B97F4A7C15) + back + U(d)) if out else back)
+    return np.stack(out)
+
+
 class BlockKeys:
-    """Distinct keys of a block in shard order, and where each token finds its own."""
+    """Distinct keys of a block in shard order, and where each token finds its own (contexts by length, then position)."""
 
-    def __init__(self, tokens: np.ndarray, lens: np.ndarray, shards: int, hot: np.ndarray):
+    def __init__(self, tokens: np.ndarray, lens: np.ndarray, shards: int, hot: np.ndarray, order: int):
+        self.words, self.word_of = np.unique(tokens, return_inverse=True)
         with np.errstate(over="ignore"):
-            context = np.concatenate([[U(END)], tokens[:-1]])  # the end token also stands before each text
-            self.words, self.word_of = np.unique(tokens, return_inverse=True)
-            pair, first, self.pair_of = np.unique(mix(context * U(0x9E3779B97F4A7C15) + tokens), return_index=True, return_inverse=True)
-            self.context_of = np.concatenate([[np.searchsorted(self.words, U(END))], self.word_of[:-1]])
-            ctx, succ = context[first], mix(tokens[first]) >> U(64 - SUCC_BITS)
             self.word_shard = (mix(self.words) % U(shards)).astype(np.int64)
+            ctx, succ = contexts(tokens, lens, order).ravel(), np.tile(mix(tokens) >> U(64 - SUCC_BITS), order - 1)
             spread = np.where(np.isin(ctx, hot), succ % U(SPREAD), U(0)) if len(hot) else np.zeros(len(ctx), dtype=np.uint64)
-            self.pair_shard = ((mix(ctx) % U(shards) + spread) % U(shards)).astype(np.int64)
+            # each part of a spread context is a context of its own here
+            _, first, part_of = np.unique(ctx + spread * U(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
+            self.ctx = ctx[first]
+            self.ctx_shard = ((mix(self.ctx) % U(shards) + spread[first]) % U(shards)).astype(np.int64)
         self.word_order = np.argsort(self.word_shard, kind="stable")
-        self.pair_order = np.lexsort((succ, ctx, self.pair_shard))
-        self.ctx, self.succ = ctx, succ
-
-
-def emit(shards: int, hot: np.ndarray):
+        place = np.lexsort((self.ctx, self.ctx_shard))
+        self.ctx, self.ctx_shard = self.ctx[place], self.ctx_shard[place]
+        if len(place) >> (64 - SUCC_BITS):
+            raise ValueError(f"a block has {len(place)} contexts; use smaller blocks")
+        rank = np.empty(len(place), dtype=np.uint64)
+        rank[place] = np.arange(len(place), dtype=np.uint64)
+        rank = rank[part_of]
+        self.context_of = rank.astype(np.int32)
+        pair, self.pair_of = np.unique((rank << U(SUCC_BITS)) | succ, return_inverse=True)
+        self.succ, self.pair_ctx = pair & U((1 << SUCC_BITS) - 1), (pair >> U(SUCC_BITS)).astype(np.int64)
+
+
+def emit(shards: int, hot: np.ndarray, order: int):
     def run(t: pa.Table) -> pa.Table:
         gc.disable()
         tokens, lens = streams(t.column("text"))
-        keys = BlockKeys(tokens, lens, shards, hot)
+        keys = BlockKeys(tokens, lens, shards, hot, order)
         train = np.repeat(~t.column("held_out").to_numpy(), lens)
         word_count = np.bincount(keys.word_of[train], minlength=len(keys.words))[keys.word_order].astype(np.uint32)
-        pair_count = np.bincount(keys.pair_of[train], minlength=len(keys.ctx))[keys.pair_order].astype(np.uint32)
-        words, ctx, succ = keys.words[keys.word_order], keys.ctx[keys.pair_order], keys.succ[keys.pair_order]
+        pair_count = np.bincount(keys.pair_of[np.tile(train, order - 1)], minlength=len(keys.succ)).astype(np.uint32)
+        words, runs = keys.words[keys.word_order], np.bincount(keys.pair_ctx, minlength=len(keys.ctx)).astype(np.uint32)
         wcut = np.searchsorted(keys.word_shard[keys.word_order], np.arange(shards + 1))
-        pcut = np.searchsorted(keys.pair_shard[keys.pair_order], np.arange(shards + 1))
+        ccut = np.searchsorted(keys.ctx_shard, np.arange(shards + 1))
+        pcut = np.searchsorted(keys.pair_ctx, ccut)
         out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
         block = t.column("blk")[0].as_py()
         for s in range(shards):
-            w, p = slice(wcut[s], wcut[s + 1]), slice(pcut[s], pcut[s + 1])
+            w, c, p = slice(wcut[s], wcut[s + 1]), slice(ccut[s], ccut[s + 1]), slice(pcut[s], pcut[s + 1])
             if w.start == w.stop and p.start == p.stop:
                 continue
-            c = ctx[p]
-            head = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.empty(0, dtype=np.int64)
-            runs = np.diff(np.concatenate([head, [len(c)]])).astype(np.uint32)
-            five = succ[p].view(np.uint8).reshape(-1, 8)[:, :5]
-            for col, x in zip(out, (block, s, words[w].tobytes(), word_count[w].tobytes(), c[head].tobytes(), runs.tobytes(), np.ascontiguousarray(five).tobytes(), pair_count[p].tobytes()), strict=True):
+            five = keys.succ[p].view(np.uint8).reshape(-1, 8)[:, :5]
+            for col, x in zip(out, (block, s, words[w].tobytes(), word_count[w].tobytes(), keys.ctx[c].tobytes(), runs[c].tobytes(), np.ascontiguousarray(five).tobytes(), pair_count[p].tobytes()), strict=True):
                 col.append(x)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], ["blk", "shard", "words", "word_count", "ctx", "runs", "succ", "pair_count"])
 
@@ -258,20 +287,23 @@ def answer(hot: np.ndarray):
         rows = [unpack(r) for r in raw]
         words, count, data = build_shard(rows)
         trie = Trie.mapped(data)
-        out: tuple[list, ...] = ([-1], [raw[0]["shard"]], [np.array([count.sum(), len(count)], dtype=np.int64).tobytes()], [hot.tobytes()], [trie.fanout(hot).tobytes()])
-        for r, (w, _, ctx, succ, _) in zip(raw, rows, strict=True):
+        at = trie.rank(hot)
+        out: tuple[list, ...] = ([-1], [raw[0]["shard"]], [np.array([count.sum(), len(count)], dtype=np.int64).tobytes()], [trie.spans(trie.pointers, at).tobytes()], [trie.spans(trie.sums, at).tobytes()], [b""])
+        for r, (w, _, _, succ, _) in zip(raw, rows, strict=True):
             c = np.zeros(len(w), dtype=np.uint32)
             if len(words):
                 at = np.minimum(np.searchsorted(words, w), len(words) - 1)
                 c = np.where(words[at] == w, count[at], 0).astype(np.uint32)
-            for col, x in zip(out, (r["blk"], r["shard"], c.tobytes(), trie.fanout(w).astype(np.uint32).tobytes(), trie.lookup(ctx, succ).tobytes()), strict=True):
+            rank = trie.rank(np.frombuffer(r["ctx"], np.uint64))
+            codes = trie.codes_at(np.repeat(rank, np.frombuffer(r["runs"], np.uint32)), succ)
+            for col, x in zip(out, (r["blk"], r["shard"], c.tobytes(), trie.spans(trie.pointers, rank).astype(np.uint32).tobytes(), trie.spans(trie.sums, rank).astype(np.uint32).tobytes(), codes.tobytes()), strict=True):
                 col.append(x)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], ["blk", "shard", "counts", "fanout", "codes"])
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], ["blk", "shard", "counts", "fanout", "sums", "codes"])
 
     return run
 
 
-def score_block(shards: int, hot: np.ndarray, hot_fanout: np.ndarray, total: int, distinct: int):
+def score_block(shards: int, hot: np.ndarray, hot_fanout: np.ndarray, hot_sums: np.ndarray, total: int, distinct: int, order: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -279,17 +311,23 @@ def score_block(shards: int, hot: np.ndarray, hot_fanout: np.ndarray, total: int
         if not docs.num_rows:
             return schema.empty_table()
         tokens, lens = streams(docs.column("text"))
-        keys = BlockKeys(tokens, lens, shards, hot)
+        keys = BlockKeys(tokens, lens, shards, hot, order)
         by_shard = sorted(answers.to_pylist(), key=lambda r: r["shard"])
         joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in by_shard), kind)
-        c, fan, codes = np.empty(len(keys.words)), np.empty(len(keys.words)), np.empty(len(keys.ctx), dtype=np.uint16)
-        c[keys.word_order], fan[keys.word_order], codes[keys.pair_order] = joined("counts", np.uint32), joined("fanout", np.uint32), joined("codes", np.uint16)
+        c = np.empty(len(keys.words))
+        c[keys.word_order] = joined("counts", np.uint32)
+        fan, sums_of, codes = joined("fanout", np.uint32).astype(np.int64), joined("sums", np.uint32).astype(np.int64), joined("codes", np.uint16)
         if len(hot):  # successors of spread contexts lie in several shards: their sums came separately
-            at = np.minimum(np.searchsorted(hot, keys.words), len(hot) - 1)
-            fan = np.where(hot[at] == keys.words, hot_fanout[at], fan)
-        base = (c + 1) / (total + distinct + 1)
-        base, ctx_count, ctx_fan = base[keys.word_of], c[keys.context_of], fan[keys.context_of]
-        p = np.where(ctx_count > 0, (LEVELS[codes[keys.pair_of]] + DISCOUNT * ctx_fan * base) / np.maximum(ctx_count, 1), base)
+            at = np.minimum(np.searchsorted(hot, keys.ctx), len(hot) - 1)
+            is_hot = hot[at] == keys.ctx
+            fan, sums_of = np.where(is_hot, hot_fanout[at], fan), np.where(is_hot, hot_sums[at], sums_of)
+        base = ((c + 1) / (total + distinct + 1))[keys.word_of]
+        p = base
+        for level in range(order - 1):
+            part = slice(level * len(tokens), (level + 1) * len(tokens))
+            of = keys.context_of[part]
+            seen = sums_of[of]
+            p = np.where(seen > 0, (LEVELS[codes[keys.pair_of[part]]] + DISCOUNT * fan[of] * p) / np.maximum(seen, 1), p)
         first = np.cumsum(lens) - lens
         sums = lambda x: np.add.reduceat(x, first)
         known = sums((c > 0)[keys.word_of].astype(np.int64))
@@ -299,42 +337,43 @@ def score_block(shards: int, hot: np.ndarray, hot_fanout: np.ndarray, total: int
     return run
 
 
-def frequent_words(texts: DataFrame, total_chars: int, sample_chars: int, share: float = 1e-3) -> np.ndarray:
-    """Ids (sorted) of words that make more than `share` of a bounded sample; they only shape the spread over shards."""
+def frequent_contexts(texts: DataFrame, total_chars: int, sample_chars: int, order: int, share: float = 1e-3) -> np.ndarray:
+    """Ids (sorted) of contexts that make more than `share` of a bounded sample; they only shape the spread over shards."""
     some = texts.where(F.pmod(F.xxhash64("th"), F.lit(max(1, total_chars // sample_chars))) == 0).limit(20_000)
 
     def count(batches):
         for b in batches:
-            tokens, _ = streams(b.column(0)) if b.num_rows else (np.empty(0, dtype=np.uint64), None)
-            w, c = np.unique(tokens, return_counts=True)
+            tokens, lens = streams(b.column(0)) if b.num_rows else (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+            w, c = np.unique(contexts(tokens, lens, order), return_counts=True)
             keep = c > len(tokens) * share / 2
             yield pa.RecordBatch.from_arrays([pa.array(w[keep].view(np.int64)), pa.array(c[keep]), pa.array(np.full(int(keep.sum()), len(tokens)))], ["w", "c", "n"])
 
-    got = some.select("text").mapInArrow(count, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(int(1 / share)).collect()
+    got = some.select("text").mapInArrow(count, "w long, c long, n long").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(int((order - 1) / share)).collect()
     return np.sort(np.array([r["w"] for r in got], dtype=np.int64).view(np.uint64))
 
 
-def trie_scores(documents: DataFrame, block_chars: int = 12_000_000, shard_chars: int = 24_000_000, sample_chars: int = 20_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents(doc_id, text)."""
+def trie_scores(documents: DataFrame, order: int = 2, block_chars: int = 12_000_000, shard_chars: int = 24_000_000, sample_chars: int = 20_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents(doc_id, text); order is 2 at least."""
     spark = documents.sparkSession
     folder = scratch_dir(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.col("doc_id").cast("long")).alias("th"))
     size = documents.agg(F.sum(F.length("text"))).first()[0] or 0
     least = shuffle_partitions(spark)
-    blocks, shards = max(least, -(-size // block_chars)), max(least, -(-size // shard_chars))
-    hot = frequent_words(rows, size, sample_chars)
+    blocks, shards = max(least, -(-size * (order - 1) // block_chars)), max(least, -(-size * (order - 1) // shard_chars))
+    hot = frequent_contexts(rows, size, sample_chars, order)
     dealt = rows.select(F.pmod("th", F.lit(blocks)).alias("blk"), "doc_id", held_out_sql(7, 2).alias("held_out"), "text")
-    keys = dealt.groupBy("blk").applyInArrow(emit(shards, hot), KEYS)
-    answers = materialise(keys.groupBy("shard").applyInArrow(answer(hot), "blk long, shard long, counts binary, fanout binary, codes binary"), folder, "answers")
+    keys = dealt.groupBy("blk").applyInArrow(emit(shards, hot, order), KEYS)
+    answers = materialise(keys.groupBy("shard").applyInArrow(answer(hot), "blk long, shard long, counts binary, fanout binary, sums binary, codes binary"), folder, "answers")
     total = distinct = 0
-    hot_fanout = np.zeros(len(hot), dtype=np.int64)
-    for r in answers.where("blk = -1").select("counts", "codes").toLocalIterator():  # one row a shard, at most 8 KB each
+    hot_fanout, hot_sums = np.zeros(len(hot), dtype=np.int64), np.zeros(len(hot), dtype=np.int64)
+    for r in answers.where("blk = -1").select("counts", "fanout", "sums").toLocalIterator():  # one row a shard, at most 16 KB each and order
         n, v = np.frombuffer(r["counts"], np.int64)
         total, distinct = total + int(n), distinct + int(v)
-        hot_fanout += np.frombuffer(r["codes"], np.int64)
+        hot_fanout += np.frombuffer(r["fanout"], np.int64)
+        hot_sums += np.frombuffer(r["sums"], np.int64)
     del keys
     discard(spark, folder)
     scored = dealt.groupBy("blk").cogroup(answers.where("blk >= 0").groupBy("blk"))
-    return scored.applyInArrow(score_block(shards, hot, hot_fanout, total, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.applyInArrow(score_block(shards, hot, hot_fanout, hot_sums, total, distinct, order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

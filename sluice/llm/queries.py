@@ -27,7 +27,7 @@ def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_trie.trie_scores(table(spark, sf_dir, "documents"))
+    return ngram_trie.trie_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
