@@ -9,7 +9,9 @@ The trie holds contexts of 1 to n - 1 words. It is cut into shards by context (s
 several shards). A shard has levels in one compact buffer: sorted context ids, monotone pointers to the successors of each
 context, running sums of the contexts' counts, successor ids relative to their context (monotone because the context's rank stands above them), each as
 Elias-Fano sequences, and the discounted counts quantised to 16 bits on a partly geometric scale. A query finds the context, then the
-successor by search inside the context's range only. The buffer is an anonymous memory map, so levels are read in place.
+successor by search inside the context's range only, which the pointers give. The buffer is an anonymous memory map that
+the task fills and reads: low bits, pointers' low bits and codes in place, while the unary high parts are expanded to 8
+bytes an entry as their select directory. Stored are quantised counts; probabilities are computed from them when scoring.
 
 Data flow: texts are dealt to blocks by hash. Each block sends every distinct n-gram of each order once to its shard, with
 the count in training rows; the shard sums the counts of all blocks, builds its trie, and answers each block in the order
@@ -105,6 +107,20 @@ class EliasFano:
         out[on] = low[on]
         return out
 
+    def find_within(self, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The index of each x in its own range from low to high, -1 where it is absent."""
+        low, right, live = low.copy(), high.copy(), np.flatnonzero(low < high)
+        while len(live):
+            middle = (low[live] + right[live]) >> 1
+            less = self.get(middle) < x[live]
+            low[live] = np.where(less, middle + 1, low[live])
+            right[live] = np.where(less, right[live], middle)
+            live = live[low[live] < right[live]]
+        out, on = np.full(len(x), -1, dtype=np.int64), np.flatnonzero(low < high)
+        on = on[self.get(low[on]) == x[on]]
+        out[on] = low[on]
+        return out
+
 
 #: Discounted counts of the 16-bit codes: exact up to 32768, then a geometric scale. Code 0: not in the trie.
 LEVELS = np.concatenate([[0.0], np.arange(1, 32769) - DISCOUNT, 32768 * np.exp(np.arange(1, 32768) * 6e-4) - DISCOUNT])
@@ -148,7 +164,8 @@ class Trie:
         out = np.zeros(len(rank), dtype=np.uint16)
         on = np.flatnonzero(rank >= 0)
         if len(on):
-            at = self.successors.find((rank[on].astype(np.uint64) << U(SUCC_BITS)) | successor[on])
+            low, high = (self.pointers.get(rank[on] + k).astype(np.int64) for k in (0, 1))
+            at = self.successors.find_within((rank[on].astype(np.uint64) << U(SUCC_BITS)) | successor[on], low, high)
             out[on[at >= 0]] = self.codes[at[at >= 0]]
         return out
 
