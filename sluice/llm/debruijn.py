@@ -14,7 +14,8 @@ Spark joins then tell the cases apart:
    two variants share is a repeat.
 Spans go back to their documents by source coordinates (document, first word, windows).
 
-Two blocks or windows count as equal when the anchor's 64-bit hash and their own independent 64-bit hash agree.
+Two blocks or windows count as equal when the anchor's 64-bit hash and their own independent 64-bit hash agree; the words
+themselves are never compared, and source coordinates lead back to a text only for the variants at branches.
 
 A row is told by doc_id and a hash of its text. Defined cases: a null text has no words; a null doc_id is a document too;
 texts shorter than a window keep all words; exact repeats of a row repeat each other's windows; overlapping repeats in one
