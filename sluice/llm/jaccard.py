@@ -15,8 +15,10 @@ as a whole, and single sets of two families only when the families can't be told
 each member, not for each pair, and no link between different sets is lost: every skipped pair is bounded below 0.8, or
 its two sets are in one group by other links.
 
-The frequent tokens are counted over all texts (per block of texts, then summed); at most `order_tokens` of them, the most
-frequent, are sent to all tasks. They only shape the order, which is exact whatever it is.
+The frequent tokens are counted per block of about a million tokens of distinct sets, then summed; a block reports only
+tokens that it holds at least twice, so one spread thinly (once in each of many blocks) is not seen as frequent and can
+make long lists on large inputs. At most `order_tokens` of them, the most frequent, are sent to all tasks. They only shape
+the order, so results are exact whatever it is.
 
 Shingles and sets are told by 64-bit hashes. Defined cases: null, empty or blank texts have the empty set and link with
 nothing; with fewer than 5 words the whole sequence is the one shingle; a null doc_id takes part, but names no component
