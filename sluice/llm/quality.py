@@ -7,7 +7,8 @@ rows. Features of a text: frequencies of adjacent byte-class pairs (letter case,
 shape ratios (repeated lines and words, word and line length); every byte of every text counts.
 
 Bounded samples (parameters): about `max_labelled` labelled rows and `max_unlabelled` other rows at most, drawn row by row
-with a fixed seed. Scoring covers every row.
+with a fixed seed. The unlabelled part of the risk and the features' means and deviations thus rest on the sample, a share
+that falls as the table grows (README has the measured effect). Scoring covers every row.
 
 Defined cases: a null text is an empty text, which gets the score of its (all zero) features; rows without a label or a
 doc_id teach nothing as positives; repeated doc_ids give one row each; with no positive label the score is the prior,
