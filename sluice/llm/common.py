@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK64 = (1 << 64) - 1
 U = np.uint64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def no_gc() -> Iterator[None]:
+    """Switches the cycle collector off, for loops that make many small objects and no cycles, and back as it was."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
+def paused(run):
+    """The generator function with the cycle collector off while it runs."""
+
+    def wrapped(batches):
+        with no_gc():
+            yield from run(batches)
+
+    return wrapped
 
 
 @functools.cache
@@ -23,26 +50,52 @@ def local_folder() -> str:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that setting is unset (tests), below a local folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or local_folder()
-    return f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, deleted when the session's process ends.
+
+    Only local masters may leave that setting unset (tests); they get a folder of this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = local_folder()
+    folder = f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    atexit.register(forget, folder)
+    return folder
+
+
+def forget(folder: str) -> None:
+    """Deletes a scratch folder while there is a session to do it."""
+    if SparkContext._active_spark_context is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            delete(SparkSession.active(), folder)
+
+
+def delete(spark: SparkSession, place: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and rereads it, which cuts the lineage."""
-    path = f"{folder}/{name}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes df as a Parquet table in the shared folder and rereads it, which cuts the lineage.
+
+    The shuffle files of the write go as soon as it is done; the table stands in for them.
+    """
+    spark, path = df.sparkSession, f"{folder}/{name}"
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, folder: str, *names: str) -> None:
-    """Deletes tables that materialise() wrote and that no later plan reads, and lets go of finished shuffle files."""
-    jvm = spark.sparkContext._jvm
+    """Deletes tables that materialise() wrote and that no later plan reads."""
     for name in names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()  # the context cleaner removes the files of shuffles that no object holds any more
-    jvm.System.gc()
+        delete(spark, f"{folder}/{name}")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -24,7 +24,6 @@ document count; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, discard, gram_hashes, materialise, mix, scratch_dir, split_words, word_hashes
+from .common import U, discard, gram_hashes, materialise, mix, paused, scratch_dir, split_words, word_hashes
 
 BASE = 0x9E3779B97F4A7C15 | 1
 NO_ID = -(1 << 63)
@@ -100,7 +99,6 @@ def compact(window: int, anchor: int, block_words: int = 600_000):
         return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(th), pa.array((s - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), long(grams[a]), long(path)], ["rid", "th", "start", "n", "anchor", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         keys: list[tuple] = []
         hashes: list[np.ndarray] = []
         held = 0
@@ -117,7 +115,7 @@ def compact(window: int, anchor: int, block_words: int = 600_000):
         if keys:
             yield blocks(keys, hashes)
 
-    return run
+    return paused(run)
 
 
 def variant_windows(window: int):
@@ -176,7 +174,6 @@ def cover(window: int, joined: pa.Schema):
     text_at, spans_at = joined.get_field_index("text"), joined.get_field_index("spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for b in batches:
             total, removed, kept = [], [], []
             for text, spans in zip(b.column(text_at), b.column(spans_at), strict=True):
@@ -195,7 +192,7 @@ def cover(window: int, joined: pa.Schema):
             keep = [i for i in range(b.num_columns) if i != spans_at]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*(b.schema.names[i] for i in keep), "n_words", "n_removed", "kept"])
 
-    return run
+    return paused(run)
 
 
 def strip_repeats(docs: DataFrame, window: int = 35, anchor: int = 8) -> DataFrame:

@@ -28,7 +28,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, discard, gram_hashes, materialise, mix, scratch_dir, word_hashes
+from .common import U, discard, gram_hashes, materialise, mix, paused, scratch_dir, word_hashes
 from .components import components
 from .debruijn import NO_ID
 
@@ -63,7 +62,6 @@ def survey(block_tokens: int = 1_000_000):
     """Rows (doc_id, th, text) to rows of kind 0 (doc_id, th, set, size) and of kind 1 (token, count in a block of distinct sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         held, seen, size = [], set(), 0
 
         def often() -> pa.RecordBatch:
@@ -90,7 +88,7 @@ def survey(block_tokens: int = 1_000_000):
         if held:
             yield often()
 
-    return run
+    return paused(run)
 
 
 def in_order(tokens: np.ndarray, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -106,7 +104,6 @@ def prefixes(frequent: np.ndarray, level: np.ndarray):
     """Texts to prefix entries (token, sid, n, pos), once for each set and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         seen: set[int] = set()
         for b in batches:
             token, sid, n, pos = [], [], [], []
@@ -135,7 +132,7 @@ def prefixes(frequent: np.ndarray, level: np.ndarray):
             if token:
                 yield entries()
 
-    return run
+    return paused(run)
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

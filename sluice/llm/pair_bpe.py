@@ -13,7 +13,6 @@ as the tokenizers library has it; repeated doc_ids give one row each; other colu
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import heapq
 import json
@@ -26,6 +25,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import paused
+
 CACHE_CHUNKS = 400_000
 
 
@@ -199,7 +200,6 @@ def encode_batches(path: str, block_chars: int = 12_000_000):
     """Arrow batches (doc_id, text) to (doc_id, tokenizer, ids), in blocks of about block_chars of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], PairBpe, list[list[int]]]]:
-        gc.disable()  # only acyclic lists and tuples are made, and many of them
         bpe = bpe_of(path)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
@@ -212,7 +212,7 @@ def encode_batches(path: str, block_chars: int = 12_000_000):
                     yield ids[at : i + 1], bpe, bpe.encode(block)
                     at, size, block = i + 1, 0, []
 
-    return run
+    return paused(run)
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
