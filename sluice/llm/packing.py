@@ -17,22 +17,20 @@ table gives no pieces; extra columns are ignored.
 from __future__ import annotations
 
 import functools
-import gc
 import heapq
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import no_gc
 from .pair_bpe import byte_alphabet
 
 #: The public word pattern of byte-level BPE.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_CHUNKS = 600_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -123,11 +121,12 @@ class Packer:
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], [x.split()[0] for x in SCHEMA.split(", ")])
 
 
-class CachedEncoder:
-    """Ids of whole texts as packed little-endian uint32, chunk by chunk from a bounded cache.
+class Encoder:
+    """Ids of whole texts as packed little-endian uint32.
 
-    New words are merged by tiktoken from the ranks in the same file (the id order of its vocabulary), which is faster
-    for single words; texts that hold an added token go to the tokenizers library as a whole.
+    tiktoken splits and merges whole texts by the public pattern and the ranks in the file (the id order of its
+    vocabulary), which gives the library's ids in less time; texts that hold an added token, and those on which its
+    pattern gives up (very long runs of one kind), go to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -137,58 +136,44 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.words = regex.compile(WORDS)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
         byte = {c: b for b, c in enumerate(byte_alphabet())}
         ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
-        self.piece = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.ordinary = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
 
     @staticmethod
     def packed(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
-    def chunk(self, text: str) -> bytes:
-        return b"".join(self.packed(self.piece(w.encode("utf-8", "surrogatepass"))) for w in self.words.findall(text))
-
     def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        if "  " in text:
-            return self.chunk(text)
-        # a single space opens the word after it, so the pattern breaks before every one of them
-        first, *rest = text.split(" ")
-        cache, head = self.cache, self.chunk(first)
-        try:
-            return head + b"".join(map(cache.__getitem__, rest))
-        except KeyError:
-            if len(cache) > CACHE_CHUNKS:
-                cache.clear()
-            for c in rest:
-                if c not in cache:
-                    cache[c] = self.chunk(" " + c)
-            return head + b"".join(map(cache.__getitem__, rest))
+        if not any(t in text for t in self.added):
+            try:
+                return self.packed(self.ordinary(text))
+            except BaseException as e:  # a panic of the pattern engine is no Exception
+                if type(e).__name__ not in ("PanicException", "ValueError", "RuntimeError"):
+                    raise
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 @functools.cache
-def encoder_of(path: str) -> CachedEncoder:
-    """One for each worker process, so that its cache outlives a task."""
-    return CachedEncoder(path)
+def encoder_of(path: str) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, piece: int = 256, pool: int = 128, fill: float = 0.995) -> DataFrame:
     """Pieces of docs(doc_id, text) with their places in sequences; see SCHEMA."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        encoder, end = encoder_of(path), CachedEncoder.packed([end_id])
+        encoder, end = encoder_of(path), Encoder.packed([end_id])
         packer = Packer(capacity, piece, pool, fill, TaskContext.get().partitionId() << 40)
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                packer.add(doc_id, encoder.encode(text.as_py() or "") + end)
-                if len(packer.out) >= 20_000:
-                    yield packer.take()
-        packer.flush()
-        yield packer.take()
+        with no_gc():
+            for b in batches:
+                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    packer.add(doc_id, encoder.encode(text.as_py() or "") + end)
+                    if len(packer.out) >= 20_000:
+                        yield packer.take()
+            packer.flush()
+            yield packer.take()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
