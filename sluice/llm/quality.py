@@ -1,14 +1,18 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives are labelled rows with quality 1, the unlabelled set is a sample of all documents. A logistic model is
-fitted by gradient descent on the risk  pi * R_p^+ + max(0, R_u^- - pi * R_p^-)  with the sigmoid loss; where the second
-part falls below zero, its gradient step is reversed. The class prior pi is estimated as the mean label of the labelled
-rows. Features of a text: frequencies of adjacent byte-class pairs (letter case, digits, white space, kinds of marks) and
-shape ratios (repeated lines and words, word and line length); every byte of every text counts.
+Trusted positives are labelled rows with quality 1, the unlabelled set is every document. A linear model f is fitted to the
+risk  pi * R_p^+ + max(0, R_u^- - pi * R_p^-)  with the squared loss (1 - y f)^2 / 4; where the second part falls below
+zero, its gradient step is reversed. The class prior pi is estimated as the mean label of the labelled rows. Features of a
+text: frequencies of adjacent byte-class pairs (letter case, digits, white space, kinds of marks) and shape ratios
+(repeated lines and words, word and line length); every byte of every text counts. The score is 1 / (1 + exp(-4 f)).
 
-Bounded samples (parameters): about `max_labelled` labelled rows and `max_unlabelled` other rows at most, drawn row by row
-with a fixed seed. The unlabelled part of the risk and the features' means and deviations thus rest on the sample, a share
-that falls as the table grows (README has the measured effect). Scoring covers every row.
+With the squared loss every part of the risk is a quadratic in the weights, whose coefficients are sums over documents: the
+number of rows, the sums of the features and of their products. One pass gathers them over all documents (R_u^-, means and
+deviations of the features) and over the trusted positives; tasks emit one row each, which merge in a tree of `fan_in`. The
+driver gets the two sums, four MB at any input size, and no feature row.
+
+Bounded sample (parameter): at most about `max_labelled` labelled rows, drawn row by row with a fixed seed; their ids go to
+all tasks as 8 bytes each. All else covers every row.
 
 Defined cases: a null text is an empty text, which gets the score of its (all zero) features; rows without a label or a
 doc_id teach nothing as positives; repeated doc_ids give one row each; with no positive label the score is the prior,
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +48,7 @@ def byte_classes() -> bytes:
 
 TABLE = byte_classes()
 WIDTH = CLASSES * CLASSES + 8
+SHARPNESS = 4.0
 
 
 def features(text: str) -> np.ndarray:
@@ -58,78 +64,116 @@ def features(text: str) -> np.ndarray:
     return out
 
 
-def feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(x.as_py() or "").tolist() for x in b.column(1)], pa.list_(pa.float32()))], ["kind", "x"])
-
-
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 800, rate: float = 0.03, decay: float = 1e-5) -> np.ndarray:
-    """Weights (last: bias, before: scale) of the non-negative PU risk with the sigmoid loss; Adam on full batches."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float32)
-    mean, std = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-3)
-    p, u = (both[: len(positive)] - mean) / std, (both[len(positive) :] - mean) / std
-    w, b = np.zeros(p.shape[1], dtype=np.float32), 0.0
-    m, v = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
-    sigmoid = lambda z: 0.5 * (1 + np.tanh(z / 2))
-
-    def negative(x: np.ndarray) -> tuple[float, np.ndarray, float]:
-        """Mean loss of calling x negative, and its gradient."""
-        s = sigmoid(x @ w + b)
-        g = s * (1 - s) / len(x)
-        return float(s.mean()), g @ x, float(g.sum())
-
-    for t in range(1, steps + 1):
-        rp, gp, bp = negative(p)
-        ru, gu, bu = negative(u)
-        if ru - prior * rp >= 0:
-            grad = np.concatenate([gu - 2 * prior * gp, [bu - 2 * prior * bp]])
-        else:
-            grad = np.concatenate([prior * gp - gu, [prior * bp - bu]])
-        grad[:-1] += decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = (w - step[:-1]).astype(np.float32), b - float(step[-1])
-    w = w.astype(np.float64) / std
-    return np.concatenate([w, [b - float(mean @ w)]])
+def feature_matrix(texts) -> np.ndarray:
+    return np.array([features(t.as_py() or "") for t in texts]).reshape(len(texts), WIDTH)
+
+
+class Moments:
+    """Sums over rows: their number, the features, and the products of all pairs of features."""
+
+    def __init__(self, n: float = 0.0, total: np.ndarray | None = None, product: np.ndarray | None = None):
+        self.n, self.total, self.product = n, np.zeros(WIDTH) if total is None else total, np.zeros((WIDTH, WIDTH)) if product is None else product
+
+    def add(self, x: np.ndarray) -> None:
+        self.n += len(x)
+        self.total += x.sum(axis=0)
+        self.product += x.T @ x
+
+    def pack(self) -> bytes:
+        """The products are symmetric, so one triangle is enough."""
+        return np.concatenate([[self.n], self.total, self.product[np.triu_indices(WIDTH)]]).tobytes()
+
+    @staticmethod
+    def unpack(data: bytes) -> Moments:
+        flat = np.frombuffer(data)
+        product = np.zeros((WIDTH, WIDTH))
+        product[np.triu_indices(WIDTH)] = flat[1 + WIDTH :]
+        return Moments(flat[0], flat[1 : 1 + WIDTH], product + np.triu(product, 1).T)
+
+
+def task_moments(trusted: np.ndarray):
+    """Rows (doc_id, text) to one row (part, unlabelled, positive) with the packed sums of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, positive = Moments(), Moments()
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                x = feature_matrix(b.column(1).slice(at, 2048))
+                every.add(x)
+                ids = b.column(0).slice(at, 2048)
+                known = ids.is_valid().to_numpy(zero_copy_only=False) & np.isin(ids.fill_null(0).to_numpy(), trusted)
+                positive.add(x[known])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([every.pack()], pa.binary()), pa.array([positive.pack()], pa.binary())], ["part", "unlabelled", "positive"])
+
+    return run
+
+
+def merged(t: pa.Table) -> pa.Table:
+    sums = lambda name: sum(np.frombuffer(x.as_py()) for x in t.column(name)).tobytes()
+    return pa.table([t.column("part").slice(0, 1), pa.array([sums("unlabelled")], pa.binary()), pa.array([sums("positive")], pa.binary())], ["part", "unlabelled", "positive"])
+
+
+def gather(rows: DataFrame, trusted: np.ndarray, fan_in: int = 16) -> tuple[Moments, Moments]:
+    """Moments of all rows(doc_id, text) and of the trusted ones."""
+    schema = "part long, unlabelled binary, positive binary"
+    parts, tree = rows.rdd.getNumPartitions(), rows.mapInArrow(task_moments(trusted), schema)
+    while parts > 1:
+        tree = tree.groupBy(F.floor(F.col("part") / fan_in)).applyInArrow(merged, schema).withColumn("part", F.floor(F.col("part") / fan_in))
+        parts = -(-parts // fan_in)
+    got = tree.select("unlabelled", "positive").collect()  # one row, or none of an empty table
+    return (Moments.unpack(got[0][0]), Moments.unpack(got[0][1])) if got else (Moments(), Moments())
+
+
+def fit_nnpu(positive: Moments, unlabelled: Moments, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 0.1) -> np.ndarray:
+    """Weights (last: bias) of the non-negative PU risk with the squared loss; steps are scaled by the risk's own curvature."""
+    mean = unlabelled.total / unlabelled.n
+    std = np.maximum(np.sqrt(np.maximum(np.diag(unlabelled.product) / unlabelled.n - mean**2, 0)), 1e-3)
+
+    def standard(m: Moments) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and mean product of the standardised features and a constant 1."""
+        centre = (m.total / m.n - mean) / std
+        product = (m.product - np.outer(m.total, mean) - np.outer(mean, m.total) + m.n * np.outer(mean, mean)) / m.n / np.outer(std, std)
+        first = np.append(centre, 1.0)
+        return first, np.block([[product, centre[:, None]], [first[None, :]]])
+
+    (mu, gu), (mp, gp) = standard(unlabelled), standard(positive)
+    curve = np.linalg.inv(gu / 2 + decay * np.eye(len(mu)))
+    w = np.zeros(len(mu))
+    for _ in range(steps):
+        on_unlabelled, on_positive = (1 + 2 * mu @ w + w @ gu @ w) / 4, (1 + 2 * mp @ w + w @ gp @ w) / 4
+        negative = (mu + gu @ w) / 2 - prior * (mp + gp @ w) / 2
+        grad = prior * (gp @ w - mp) / 2 + negative + decay * w if on_unlabelled >= prior * on_positive else -negative
+        w = w - rate * curve @ grad
+    scaled = w[:-1] / std
+    return np.append(scaled, w[-1] - scaled @ mean)
 
 
 def held_out_sql(modulo: int, remainder: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulo == remainder, F.lit(False))
 
 
-def train_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = 16_000, max_unlabelled: int = 16_000) -> np.ndarray:
+def train_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = 16_000) -> np.ndarray:
     """Weights of the model; rows held out (crc32 of doc_id mod 3 is 1) give no labels."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality").where(~held_out_sql(3, 1))
-    n, total = known.count(), documents.count()
-    part = lambda most, all_rows: min(1.0, most / max(1, all_rows))
-    known = known.sample(part(max_labelled, n), 7).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    got = [(r["doc_id"], r["quality"]) for r in known.collect()]  # about max_labelled rows at most
-    prior = min(0.98, float(np.mean([q for _, q in got]))) if got else 0.5
-    trusted = [d for d, q in got if q == 1]
-    untaught = np.concatenate([np.zeros(WIDTH), [np.log(max(prior, 1e-6) / (1 - prior))]])
-    if not trusted:
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held_out_sql(3, 1))
+    n = known.count()
+    known = known.sample(min(1.0, max_labelled / max(1, n)), 7).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    got = known.collect()  # about max_labelled rows at most
+    prior = min(0.98, float(np.mean([r["quality"] for r in got]))) if got else 0.5
+    untaught = np.append(np.zeros(WIDTH), np.log(max(prior, 1e-6) / (1 - prior)) / SHARPNESS)
+    trusted = np.sort(np.array([r["doc_id"] for r in got if r["quality"] == 1], dtype=np.int64))
+    if not len(trusted):
         return untaught
-    spark = documents.sparkSession
-    ids = F.broadcast(spark.createDataFrame([(d,) for d in trusted], "doc_id long"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    some = texts.sample(part(max_unlabelled, total), 7).select(F.lit(0).alias("kind"), "text")
-    rows = texts.join(ids, "doc_id", "left_semi").select(F.lit(1).alias("kind"), "text").unionAll(some).mapInArrow(feature_rows, "kind int, x array<float>")
-    pos, unl = [], []
-    for r in rows.toLocalIterator():
-        (pos if r["kind"] else unl).append(np.array(r["x"], dtype=np.float32))
-    return fit_nnpu(np.array(pos), np.array(unl), prior) if pos and unl else untaught
+    every, positive = gather(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), trusted)
+    return fit_nnpu(positive, every, prior) if positive.n else untaught
 
 
 def scorer(weights: np.ndarray):
     w = weights.astype(np.float64)
 
-    def run(texts):
-        import pandas as pd
-
-        x = np.array([features(t or "") for t in texts]).reshape(len(texts), WIDTH)
-        return pd.Series(0.5 * (1 + np.tanh((x @ w[:-1] + w[-1]) / 2)))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(0.5 * (1 + np.tanh(SHARPNESS * (feature_matrix(texts) @ w[:-1] + w[-1]) / 2)))
 
-    return F.pandas_udf(run, "double")
+    return F.arrow_udf(run, "double")
 
 
 def score_quality(documents: DataFrame, weights: np.ndarray) -> DataFrame:
