@@ -58,7 +58,7 @@ def aggregate(name: str, args: list[Ex], row: str) -> Ex:
             return Ex(f"{'min' if name in ('min', 'least') else 'max'}({a})", t)
         case "min_by" | "max_by":
             # (ordering, returned); the first row wins ties for min_by, the last for max_by
-            return Ex(f"({name}(struct({sqls[1]} as v), struct({a}, {row})) filter (where {a} is not null)).v", args[1].type)
+            return Ex(f"{name}({sqls[1]}, struct({a}, {row})) filter (where {a} is not null)", args[1].type)
         case "every":
             return Ex(f"bool_and(coalesce({bools()}, false))", BOOL)
         case "any" | "some":
@@ -68,7 +68,7 @@ def aggregate(name: str, args: list[Ex], row: str) -> Ex:
             if len(args) > 1 and args[1].sql not in ("true", "false"):
                 raise PipelineError(f"{name}: the second argument has to be true or false")
             where = f" filter (where {a} is not null)" if ignore else ""
-            return Ex(f"({'min_by' if name.startswith('first') else 'max_by'}(struct({a} as v), {row}){where}).v", t)
+            return Ex(f"{'min_by' if name.startswith('first') else 'max_by'}({a}, {row}){where}", t)
         case "array_agg" | "collect_list":
             return Ex(ordered_list(a, row), T.ArrayType(t))
         case "collect_set":

@@ -1,7 +1,8 @@
 """The stages of a pipeline: each turns a Flow (a DataFrame and what is known of its columns) into the next.
 
-Hidden columns: `__rowid` (an array, so that it stays sortable through explode and join), only if a later stage needs the
-order of rows, and `__err_<name>` (text of a cell's error), only if errors are tracked.
+Hidden columns: `__rowid`, only if a later stage needs the order of rows (a long; an array once explode or join made several
+rows of one, so that it stays sortable), `__err_<name>` (text of a cell's error), only if errors are tracked, and
+`__bind<n>` (arguments of an expression), within a stage.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from ..plans.types import NULL, Ex, ident
 from .aggregates import ORDERED, aggregate
 
 ROW = "__rowid"
+FENCED = 2  # levels of bound columns through which a filter may move down
 
 
 def err_name(name: str) -> str:
@@ -33,6 +35,7 @@ class Flow:
     tracked: frozenset = frozenset()  # columns with an error companion
     track: bool = False
     rows: bool = False  # __rowid is there
+    grown: bool = False  # __rowid is an array
     sources: Mapping = field(default_factory=dict)
     udfs: Mapping[str, Callable] = field(default_factory=dict)
 
@@ -40,6 +43,9 @@ class Flow:
         columns = {n: Ex(ident(n), t, ident(err_name(n)) if n in self.tracked else None) for n, t in self.types.items()}
         return Binder(columns, self.udfs)
 
+    def row_array(self) -> str:
+        return ident(ROW) if self.grown else f"array({ident(ROW)})"
+
     def hidden(self) -> list[str]:
         return [ident(ROW)] if self.rows else []
 
@@ -83,10 +89,24 @@ def typed(sql: str, t) -> str:
 
 
 def where(flow: Flow, s: S.Where) -> Flow:
-    e = flow.binder().bind(s.expr)
-    if e.type != L.BOOL:
-        return replace(flow, df=flow.df.where("false"))  # what is not exactly true drops the row
-    return replace(flow, df=flow.df.where(e.sql))
+    """What is not exactly true drops the row. Conditions on plain columns go first, where the scan can take them."""
+    binder = flow.binder()
+    conditions = binder.conditions(s.expr)
+    if any(e.type != L.BOOL for e in conditions):
+        return replace(flow, df=flow.df.where("false"))
+    df = flow.df
+    for e in conditions:
+        df = df.where(e.sql) if e.level == 0 else df
+    rest = [e for e in conditions if e.level > 0]
+    if rest:
+        df = binder.prepared(df)
+        if max(e.level for e in rest) > FENCED:  # a filter below its columns repeats them, a power of the depth of times
+            df = df.selectExpr("*", "monotonically_increasing_id() as __fence").where("__fence >= 0 and " + " and ".join(e.sql for e in rest))
+        else:
+            for e in rest:
+                df = df.where(e.sql)
+        df = df.selectExpr(*flow.carried(), *flow.hidden())
+    return replace(flow, df=df)
 
 
 def take(flow: Flow, s: S.Take) -> Flow:
@@ -95,11 +115,12 @@ def take(flow: Flow, s: S.Take) -> Flow:
 
 
 def top(flow: Flow, s: S.Top) -> Flow:
-    e = flow.binder().bind(s.expr)
+    binder = flow.binder()
+    e = binder.hold(binder.bind(s.expr))
     order = f"{'desc' if s.descending else 'asc'} nulls {'first' if s.nulls_first else 'last'}"
     key = F.expr(e.sql)
     column = {"desc nulls first": key.desc_nulls_first, "desc nulls last": key.desc_nulls_last, "asc nulls first": key.asc_nulls_first, "asc nulls last": key.asc_nulls_last}[order]()
-    return replace(flow, df=flow.df.orderBy(column).limit(s.n))
+    return replace(flow, df=binder.prepared(flow.df).orderBy(column).limit(s.n).selectExpr(*flow.carried(), *flow.hidden()))
 
 
 def project(flow: Flow, s: S.Project) -> Flow:
@@ -109,7 +130,7 @@ def project(flow: Flow, s: S.Project) -> Flow:
             raise PipelineError(f"project: the column {c.name} exists")
         new[c.name] = binder.bind(c.expr)
     errs, tracked = flow.companions(new)
-    df = flow.df.selectExpr(*flow.carried(), *flow.hidden(), *(f"{e.sql} as {ident(n)}" for n, e in new.items()), *errs)
+    df = binder.prepared(flow.df).selectExpr(*flow.carried(), *flow.hidden(), *(f"{e.sql} as {ident(n)}" for n, e in new.items()), *errs)
     return replace(flow, df=df, types=flow.types | {n: e.type for n, e in new.items()}, tracked=flow.tracked | tracked)
 
 
@@ -160,12 +181,12 @@ def explode(flow: Flow, s: S.Explode) -> Flow:
     columns = [f"{sql} as {ident(n)}" if n == s.column else ident(n) for n in flow.types]
     errs, tracked = flow.companions({s.column: Ex(sql, item, err)})
     companions = [ident(err_name(n)) for n in others if n in flow.tracked]
-    row = [f"concat({ident(ROW)}, array(cast(__pos as bigint))) as {ident(ROW)}"] if flow.rows else []
-    return replace(flow, df=grown.selectExpr(*columns, *companions, *errs, *row), types={n: item if n == s.column else x for n, x in flow.types.items()}, tracked=(flow.tracked - {s.column}) | tracked)
+    row = [f"concat({flow.row_array()}, array(cast(__pos as bigint))) as {ident(ROW)}"] if flow.rows else []
+    return replace(flow, grown=True, df=grown.selectExpr(*columns, *companions, *errs, *row), types={n: item if n == s.column else x for n, x in flow.types.items()}, tracked=(flow.tracked - {s.column}) | tracked)
 
 
-def bound_keys(flow: Flow, keys: tuple) -> dict[str, Ex]:
-    binder, out = flow.binder(), {}
+def bound_keys(binder: Binder, keys: tuple) -> dict[str, Ex]:
+    out = {}
     for k in keys:
         if k.name in out:
             raise PipelineError(f"the key {k.name} is given twice")
@@ -175,19 +196,20 @@ def bound_keys(flow: Flow, keys: tuple) -> dict[str, Ex]:
 
 def summarize(flow: Flow, s: S.Summarize) -> Flow:
     """Aggregates first, then keys; without keys, no row for no input."""
-    binder, keys = flow.binder(), bound_keys(flow, s.keys)
+    binder = flow.binder()
+    keys = bound_keys(binder, s.keys)
     row = ident(ROW) if flow.rows else "0"
     aggs: dict[str, Ex] = {}
     for a in s.aggregates:
         if a.name in aggs or a.name in keys:
             raise PipelineError(f"summarize: the column {a.name} exists")
-        args = [binder.bind(x) for x in a.args]
+        args = [binder.hold(binder.bind(x)) for x in a.args]
         if a.function == "sum" and args and args[0].type == L.STRING and not flow.rows:
             raise OrderNeeded
         aggs[a.name] = aggregate(a.function, args, row)
     errs, tracked = flow.companions(aggs)
     # keys become columns of their own names first, so that an expression key is evaluated once
-    inner = flow.df.selectExpr("*", *(f"{e.sql} as {ident(f'__key_{n}')}" for n, e in keys.items()))
+    inner = binder.prepared(flow.df).selectExpr("*", *(f"{e.sql} as {ident(f'__key_{n}')}" for n, e in keys.items()))
     columns = [F.expr(e.sql).alias(n) for n, e in aggs.items()] + [F.expr(x.rsplit(" as ", 1)[0]).alias(x.rsplit(" as ", 1)[1].strip("`")) for x in errs]
     columns += [F.expr(f"min({ident(ROW)})").alias(ROW)] if flow.rows else []
     if keys:
@@ -201,8 +223,9 @@ def summarize(flow: Flow, s: S.Summarize) -> Flow:
 
 def distinct(flow: Flow, s: S.Distinct) -> Flow:
     """Without keys whole rows, with keys the key columns alone; both are aggregates without functions."""
-    keys = bound_keys(flow, s.keys or tuple(S.Named(n) for n in flow.types))
-    rows = flow.df.selectExpr(*(f"{e.sql} as {ident(n)}" for n, e in keys.items()), *flow.hidden())
+    binder = flow.binder()
+    keys = bound_keys(binder, s.keys or tuple(S.Named(n) for n in flow.types))
+    rows = binder.prepared(flow.df).selectExpr(*(f"{e.sql} as {ident(n)}" for n, e in keys.items()), *flow.hidden())
     rows = rows.groupBy(*keys).agg(F.min(ROW).alias(ROW)) if flow.rows else rows.distinct()
     return replace(flow, df=rows.selectExpr(*(ident(n) for n in keys), *flow.hidden()), types={n: e.type for n, e in keys.items()}, tracked=frozenset())
 
@@ -212,12 +235,13 @@ def lookup(flow: Flow, s: S.Lookup) -> Flow:
     source = flow.sources.get(s.source)
     if source is None:
         raise PipelineError(f"unknown lookup source {s.source}")
-    key = flow.binder().bind(s.key)
+    binder = flow.binder()
+    key = binder.hold(binder.bind(s.key))
     names = [f.new or f.name for f in s.fields]
     for i, n in enumerate(names):
         if n in flow.types or n in names[:i]:
             raise PipelineError(f"{s.kind}: the column {n} exists")
-    left = flow.df.selectExpr(*flow.carried(), *flow.hidden(), f"{key.sql} as __k", f"{f'cast({key.err} as string)' if flow.track and key.err else 'cast(null as string)'} as __kerr")
+    left = binder.prepared(flow.df).selectExpr(*flow.carried(), *flow.hidden(), f"{key.sql} as __k", f"{f'cast({key.err} as string)' if flow.track and key.err else 'cast(null as string)'} as __kerr")
     found = source.rows(left.select("__k").where("__k is not null and __kerr is null"), key.type, [f.name for f in s.fields], first=s.kind == "lookup")
     out_types, columns, errs, tracked = {}, [], [], set()
     if found is None:  # the key can't equal any key of the source
@@ -239,9 +263,10 @@ def lookup(flow: Flow, s: S.Lookup) -> Flow:
         if flow.track:
             errs.append(f"case when __kerr is not null then __kerr when __ferr is not null then __ferr {bad} end as {ident(err_name(n))}")
             tracked.add(n)
-    row = [f"concat({ident(ROW)}, array(coalesce(__seq, 0L))) as {ident(ROW)}"] if flow.rows else []
+    many = s.kind != "lookup"
+    row = [f"concat({flow.row_array()}, array(coalesce(__seq, 0L))) as {ident(ROW)}" if many else ident(ROW)] if flow.rows else []
     df = joined.selectExpr(*flow.carried(), *columns, *errs, *row)
-    return replace(flow, df=df, types=flow.types | out_types, tracked=flow.tracked | tracked)
+    return replace(flow, grown=flow.grown or many, df=df, types=flow.types | out_types, tracked=flow.tracked | tracked)
 
 
 STAGES = {S.Where: where, S.Take: take, S.Top: top, S.Project: project, S.ProjectRename: project_rename, S.ProjectRemove: project_remove, S.ProjectKeep: project_keep, S.IgnoreError: ignore_error, S.Explode: explode, S.Summarize: summarize, S.Distinct: distinct, S.Lookup: lookup}

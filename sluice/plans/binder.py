@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import replace
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..functions import special  # noqa: F401  (fills the registry)
@@ -17,16 +19,16 @@ def literal(e: Literal) -> Ex:
     v = e.value
     match e.kind:
         case "null":
-            return Ex("null", NULL)
+            return Ex("null", NULL, simple=True)
         case "bool":
-            return Ex(str(v).lower(), BOOL)
+            return Ex(str(v).lower(), BOOL, simple=True)
         case "int":
-            return Ex(str(v), L.INT)
+            return Ex(str(v), L.INT, simple=True)
         case "long":
-            return Ex(f"{v}L", LONG)
+            return Ex(f"{v}L", LONG, simple=True)
         case "double":
-            return Ex(f"double('{v!r}')", DOUBLE)
-    return Ex(L.quote(v), STRING)
+            return Ex(f"double('{v!r}')", DOUBLE, simple=True)
+    return Ex(L.quote(v), STRING, simple=True)
 
 
 def first(errors: list[str | None]) -> str | None:
@@ -35,10 +37,50 @@ def first(errors: list[str | None]) -> str | None:
 
 
 class Binder:
-    """Scope of one stage. udfs: name to a function of Ex arguments."""
+    """Scope of one stage. udfs: name to a function of Ex arguments and this binder.
 
-    def __init__(self, columns: Mapping[str, Ex], udfs: Mapping[str, Callable[[list[Ex]], Ex]] | None = None):
+    Templates name their arguments several times, so an argument that is neither column nor literal becomes a column of its
+    own first: texts grow with the expression, not with a power of its depth, and a random argument has one value a row.
+    Columns are bound in levels, each of which is one projection; Catalyst merges those that are used once.
+    """
+
+    def __init__(self, columns: Mapping[str, Ex], udfs: Mapping[str, Callable[[list[Ex], Binder], Ex]] | None = None):
         self.columns, self.udfs = columns, udfs or {}
+        self.levels: list[list[str]] = []
+
+    def hold(self, e: Ex) -> Ex:
+        """The expression as a column or a literal."""
+        if e.simple or e.sql == "null":
+            return e
+        while len(self.levels) <= e.level:
+            self.levels.append([])
+        name = f"`__bind{sum(map(len, self.levels))}`"
+        self.levels[e.level].append(f"{e.sql} as {name}")
+        return replace(e, sql=name, simple=True, level=e.level + 1)
+
+    def prepared(self, df: DataFrame) -> DataFrame:
+        """df with the bound columns."""
+        for columns in self.levels:
+            df = df.selectExpr("*", *columns)
+        return df
+
+    def conditions(self, e) -> list[Ex]:
+        """Expressions that are all true exactly where e is true; plain enough for a scan to take them."""
+        if isinstance(e, Call) and e.operator and e.name == "and":
+            return [c for a in e.args for c in self.conditions(self.logical("and", a))]
+        if isinstance(e, Call) and e.operator and e.name == "or":
+            a, b = (self.hold(self.bind(self.logical("or", x))) for x in e.args)
+            if L.is_null(a.type) or L.is_null(b.type):
+                return [Ex("false", BOOL)]
+            return [Ex(f"({a.sql} or {b.sql})", BOOL, level=max(a.level, b.level)), Ex(f"({a.sql} is not null and {b.sql} is not null)", BOOL, level=max(a.level, b.level))]
+        return [self.bind(e)]
+
+    def logical(self, op: str, e):
+        """e, if it can be an operand of a logical operator."""
+        kind = Binder(self.columns, self.udfs).bind(e).type
+        if kind != BOOL and not L.is_null(kind):
+            raise PipelineError(f"{op}: operands have to be bool; comparisons bind loosest, so put them in parentheses")
+        return e
 
     def bind(self, e) -> Ex:
         if isinstance(e, Literal):
@@ -47,14 +89,16 @@ class Binder:
             if e.name not in self.columns:
                 raise PipelineError(f"unknown column {e.name}")
             return self.columns[e.name]
-        args = [self.bind(a) for a in e.args]
+        args = [self.hold(self.bind(a)) for a in e.args]
         if e.operator:
-            return self.operator(e.name, args)
-        if e.name in self.udfs:
-            return self.udfs[e.name](args)
-        if e.name not in FUNCTIONS:
+            out = self.operator(e.name, args)
+        elif e.name in self.udfs:
+            out = self.udfs[e.name](args, self)
+        elif e.name in FUNCTIONS:
+            out = call(FUNCTIONS[e.name], args)
+        else:
             raise PipelineError(f"unknown function {e.name}")
-        return call(FUNCTIONS[e.name], args)
+        return replace(out, simple=False, level=max([out.level, *(a.level for a in args)]))
 
     def operator(self, op: str, args: list[Ex]) -> Ex:
         if op in ("is null", "is not null"):

@@ -16,11 +16,16 @@ BOOL, INT, LONG, FLOAT, DOUBLE, STRING, TIME = (NAMED[n] for n in ("bool", "int"
 
 @dataclass(frozen=True)
 class Ex:
-    """A bound expression: SQL text of its value, its type, and SQL text of its error (a string or null), if it can have one."""
+    """A bound expression: SQL text of its value, its type, and SQL text of its error (a string or null), if it can have one.
+
+    simple: a column or a literal, which may stand in a text many times. level: how many steps of bound columns it needs.
+    """
 
     sql: str
     type: T.DataType
     err: str | None = None
+    simple: bool = False
+    level: int = 0
 
 
 def quote(text: str) -> str:

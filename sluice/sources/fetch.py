@@ -171,11 +171,15 @@ def auth_headers(auth: dict | None, token: Callable[[str], str] | None) -> dict[
 
 
 def http_source(cfg: dict, token: Callable[[str], str] | None = None, opener: Callable | None = None) -> FetchSource:
-    """The key goes into the URL ($), a header, a query parameter or the body; fields come out by JSON path."""
+    """The key goes into the URL ($), a header, a query parameter or the body; fields come out by JSON path.
+
+    A request that takes longer than cfg["timeout"] seconds (30) is an error cell.
+    """
     paths = cfg["resultPath"]
     base = secret(cfg["urlBase"])
     fixed = {k: secret(v) for k, v in (cfg.get("additionalHeaders") or {}).items()} | auth_headers(cfg.get("auth"), token)
     query = {k: secret(v) for k, v in (cfg.get("additionalQueryParams") or {}).items()}
+    timeout = float(cfg.get("timeout") or 30)
 
     def client():
         def ask(key, fields):
@@ -189,7 +193,7 @@ def http_source(cfg: dict, token: Callable[[str], str] | None = None, opener: Ca
                 filled = replaced(cfg["requestTemplate"], cfg["keyPath"], key) if cfg.get("keyPath") else cfg["requestTemplate"]
                 body, headers = json.dumps(filled).encode(), headers | {"Content-Type": "application/json"}
             request = urllib.request.Request(url, data=body, headers=headers, method=(cfg.get("method") or "GET").upper())
-            with (opener or urllib.request.urlopen)(request) as response:
+            with opener(request) if opener else urllib.request.urlopen(request, timeout=timeout) as response:
                 got = json.loads(response.read())
             columns = [json_path(got, paths[f]) for f in fields]
             return [[c[i] if i < len(c) else None for c in columns] for i in range(len(columns[0]))]
@@ -208,10 +212,58 @@ def client_source(cfg: dict, clients: dict[str, Callable], kind: str) -> FetchSo
     if kind not in clients:
         raise PipelineError(f"a source of class {cfg['class']} needs a client: pass clients={{{kind!r}: factory}}")
     factory, clean = clients[kind], {k: secret(v) if isinstance(v, str) else v for k, v in cfg.items()}
-    types = cfg.get("fieldTypes") or dict.fromkeys(cfg.get("availableFields") or (), "string")
+    types = dict.fromkeys(cfg.get("availableFields") or (), "string") | (cfg.get("fieldTypes") or {})
     return FetchSource(lambda: factory(clean), types, int(cfg.get("concurrency") or 1), null_key_row=kind == "mssql", info=cfg)
 
 
+def dbapi_client(connect: Callable[[dict], object], marker: str = "?") -> Callable:
+    """A client for client_source over a DB-API driver: connect(config) opens one connection for each task.
+
+    sqlTemplate names the key as @P1, which becomes the driver's marker; availableFields are the result's columns in order.
+    """
+
+    def factory(cfg: dict) -> Callable:
+        db, sql, available = connect(cfg), cfg["sqlTemplate"], list(cfg["availableFields"])
+        keys = sql.count("@P1")
+        sql = sql.replace("@P1", marker)
+
+        def ask(key, fields):
+            cursor = db.cursor()
+            try:
+                cursor.execute(sql, (key,) * keys)
+                return [[row[available.index(f)] for f in fields] for row in cursor.fetchall()]
+            finally:
+                cursor.close()
+
+        return ask
+
+    return factory
+
+
+def document_client(pages: Callable[[dict, str, dict], tuple[list[dict], str | None]]) -> Callable:
+    """A client for client_source over a document store: pages(config, query, {"@key": key, "continuation": mark}) gives
+    (documents, next mark or None) and is asked until there is no next mark; fields are paths like a.b within a document.
+    """
+
+    def factory(cfg: dict) -> Callable:
+        def field(document, path: str):
+            for name in path.split("."):
+                document = document.get(name) if isinstance(document, dict) else None
+            return document
+
+        def ask(key, fields):
+            out, mark = [], None
+            while True:
+                documents, mark = pages(cfg, cfg["query"], {"@key": key, "continuation": mark})
+                out += [[field(d, f) for f in fields] for d in documents]
+                if mark is None:
+                    return out
+
+        return ask
+
+    return factory
+
+
 def redis_features(hmget: Callable[[str, list[str]], list]) -> Callable:
     """(key, fields) -> rows over an HMGET function whose values are base64 of an encoded feature value."""
     return lambda key, fields: [[None if v is None else decode_feature(base64.b64decode(v)) for v in hmget(str(key), fields)]]

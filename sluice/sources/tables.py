@@ -50,7 +50,10 @@ def file_format(path: str, given: str = "auto") -> str:
 
 
 def read_file(spark: SparkSession, path: str, fmt: str = "auto", options: dict | None = None) -> DataFrame:
-    """CSV with a header, Parquet, a JSON array, or JSON lines; paths are whatever Spark reads, cloud stores too."""
+    """CSV with a header, Parquet, a JSON array, or JSON lines; paths are whatever Spark reads, cloud stores too.
+
+    Options go to the reader, which hands fs.* settings (keys of a cloud store) on to the file system's configuration.
+    """
     reader = spark.read.options(**(options or {}))
     match file_format(path, fmt):
         case "csv":

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 HERE = Path(__file__).resolve().parent
 sys.path.insert(0, str(HERE.parent))
 # Python workers find the package and functions of test modules
-os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), str(HERE / "llm"), os.environ.get("PYTHONPATH", "")])
+os.environ["PYTHONPATH"] = os.pathsep.join([str(HERE.parent), str(HERE), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
