@@ -21,8 +21,15 @@ def fold(symbol: str):
 define("bit_and", LONGS)(fold("&"))
 define("bit_or", LONGS)(fold("|"))
 define("bit_xor", LONGS)(fold("^"))
-define("bool_and every", BOOLS)(lambda args: Ex(f"forall(array({', '.join(a.sql for a in args)}), e_ -> e_)", BOOL))
-define("bool_or", BOOLS)(lambda args: Ex(f"exists(array({', '.join(a.sql for a in args)}), e_ -> e_)", BOOL))
+
+
+def logic(symbol: str):
+    """A null among the arguments is an error, whatever the others say."""
+    return lambda args: Ex(f"if({' or '.join(f'{a.sql} is null' for a in args)}, null, {f' {symbol} '.join(a.sql for a in args)})", BOOL)
+
+
+define("bool_and every", BOOLS)(logic("and"))
+define("bool_or", BOOLS)(logic("or"))
 
 
 @define("concat", "x*")
@@ -275,7 +282,7 @@ def timestamp(args):
 def to_unix_timestamp(args):
     """Text gives a double, null where it can't be parsed; a datetime gives a long."""
     if L.is_time(args[0].type):
-        return Ex(f"unix_seconds({args[0].sql})", LONG)
+        return Ex(f"unix_seconds(cast({args[0].sql} as timestamp))", LONG)
     if L.is_null(args[0].type):
         return Ex("cast(null as double)", DOUBLE)
     return Ex(f"cast(unix_seconds({timestamp(args).sql}) as double)", DOUBLE)

@@ -40,7 +40,7 @@ class Flow:
     udfs: Mapping[str, Callable] = field(default_factory=dict)
 
     def binder(self) -> Binder:
-        columns = {n: Ex(ident(n), t, ident(err_name(n)) if n in self.tracked else None) for n, t in self.types.items()}
+        columns = {n: Ex(ident(n), t, ident(err_name(n)) if n in self.tracked else None, simple=True) for n, t in self.types.items()}
         return Binder(columns, self.udfs)
 
     def row_array(self) -> str:
@@ -77,6 +77,8 @@ def needs_errors(stages: tuple) -> bool:
     for s in stages:
         if isinstance(s, S.IgnoreError):
             return True
+        if computed and isinstance(s, S.Lookup) and s.kind == "left-inner":  # an error as key keeps its row
+            return True
         exprs = [s.expr] if isinstance(s, (S.Where, S.Top)) else [c.expr for c in s.columns] if isinstance(s, S.Project) else [a for g in s.aggregates for a in g.args] if isinstance(s, S.Summarize) else []
         if computed and any(isinstance(n, S.Call) and n.name.startswith("is ") for e in exprs for n in S.walk(e)):
             return True
@@ -241,7 +243,7 @@ def lookup(flow: Flow, s: S.Lookup) -> Flow:
     for i, n in enumerate(names):
         if n in flow.types or n in names[:i]:
             raise PipelineError(f"{s.kind}: the column {n} exists")
-    left = binder.prepared(flow.df).selectExpr(*flow.carried(), *flow.hidden(), f"{key.sql} as __k", f"{f'cast({key.err} as string)' if flow.track and key.err else 'cast(null as string)'} as __kerr")
+    left = binder.prepared(flow.df).selectExpr(*flow.carried(), *flow.hidden(), f"{key.sql} as __k", f"{f'cast({key.err} as string)' if key.err and (flow.track or s.kind == 'left-inner') else 'cast(null as string)'} as __kerr")
     found = source.rows(left.select("__k").where("__k is not null and __kerr is null"), key.type, [f.name for f in s.fields], first=s.kind == "lookup")
     out_types, columns, errs, tracked = {}, [], [], set()
     if found is None:  # the key can't equal any key of the source

@@ -89,6 +89,8 @@ def common(types: list):
                 out = promote(t, out)
             elif is_time(t) and is_time(out):
                 out = TIME
+            elif is_array(t) and is_array(out):
+                out = T.ArrayType(common([out.elementType, t.elementType]))
             else:
                 raise PipelineError(f"branches of types {kind(out)} and {kind(t)}")
     return out

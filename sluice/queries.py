@@ -6,6 +6,8 @@ import sqlite3
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .engine import Engine
@@ -26,8 +28,8 @@ class Query:
         read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
         sources = {n: s(spark, sf_dir) if callable(s) else TableSource(read(s[0]), s[1]) for n, s in self.sources.items()}
         engine = Engine(spark, f"q{self.text}", sources)
-        for name, (function, kind) in self.udfs.items():
-            engine.register(name, function, kind)
+        for name, how in self.udfs.items():
+            how(engine) if callable(how) else engine.register(name, *how)
         return engine.run("q", read(self.table), order_by=self.order_by)
 
 
@@ -49,12 +51,23 @@ async def segment_rows_async(key, fields):
     return segment_rows(key, fields)
 
 
+def cents(amounts):
+    """Whole cents of an Arrow array of amounts."""
+    return pc.cast(pc.round(pc.multiply(amounts, 100.0)), pa.int64())
+
+
+def halved(n):
+    if n % 2:
+        raise ValueError("odd")
+    return n // 2
+
+
 def in_memory_sqlite() -> Callable:
     """A client of a small database, made anew in each task."""
     def client():
         db = sqlite3.connect(":memory:", check_same_thread=False)
         db.execute("create table t(group_id int, name text, age int)")
-        db.executemany("insert into t values (?, ?, ?)", [(1, "Jack", 30), (1, "Jane", 31), (1, "John", 32), (2, "Jill", 33), (2, "Jose", 34), (4, "Joan", 35)])
+        db.executemany("insert into t values (?, ?, ?)", [(3, "Mara", 51), (3, "Nilo", 18), (8, "Odd", 77), (20, "Pia", 5), (20, "Quin", 44), (20, "Rui", 29)])
 
         def ask(key, fields):
             return [[dict(zip(("name", "age"), r, strict=True))[f] for f in fields] for r in db.execute("select name, age from t where group_id = ?", (key,))]
@@ -64,7 +77,7 @@ def in_memory_sqlite() -> Callable:
     return client
 
 
-PEOPLE = "(VALUES (1, 'Jack', 30), (1, 'Jane', 31), (1, 'John', 32), (2, 'Jill', 33), (2, 'Jose', 34), (4, 'Joan', 35)) t(g, name, age)"
+PEOPLE = "(VALUES (3, 'Mara', 51), (3, 'Nilo', 18), (8, 'Odd', 77), (20, 'Pia', 5), (20, 'Quin', 44), (20, 'Rui', 29)) t(g, name, age)"
 NATION = {"nations": ("nation", "n_nationkey")}
 
 QUERIES: dict[str, Query] = {
@@ -76,26 +89,28 @@ QUERIES: dict[str, Query] = {
     "project_rename": Query("orders", "(o_orderkey as long, o_orderstatus as string) | project-rename id = o_orderkey, status = o_orderstatus;", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders"),
     "project_remove": Query("orders", ORD + "| project-remove o_orderdate, o_totalprice, o_custkey;", "SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders"),
     "project_keep": Query("orders", ORD + "| project-keep o_orderstatus, o_orderkey;", "SELECT o_orderkey, o_orderstatus FROM orders"),
-    "take": Query("orders", "(o_orderkey as long) | take 25 | summarize n = count();", "SELECT least(count(*), 25) AS n FROM orders"),
+    "take": Query("orders", "(o_orderkey as long, o_orderstatus as string) | take 25 | summarize n = count(), ids = distinct_count(o_orderkey), known = count_if(o_orderkey >= 0);", "SELECT least(count(*), 25) AS n, least(count(*), 25) AS ids, least(count(*), 25) AS known FROM orders"),
     "take_ordered": Query("orders", "(o_orderkey as long, o_orderstatus as string) | take 25;", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 25", order_by="o_orderkey"),
     "top_desc": Query("orders", "(o_orderkey as long, o_totalprice as double) | top 20 by o_orderkey;", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey DESC NULLS LAST LIMIT 20"),
-    "top_asc_nulls_first": Query("orders", "(o_orderkey as long) | project k = if(o_orderkey < 10, null, o_orderkey) | where (o_orderkey > 8) | top 20 by coalesce(k, 0 - o_orderkey) asc nulls first;", "SELECT o_orderkey, CASE WHEN o_orderkey < 10 THEN NULL ELSE o_orderkey END AS k FROM orders WHERE o_orderkey > 8 ORDER BY coalesce(CASE WHEN o_orderkey < 10 THEN NULL ELSE o_orderkey END, -o_orderkey) LIMIT 20"),
-    "top_asc_nulls_first_all": Query("orders", "(o_orderkey as long) | project k = if(o_orderkey < 10, null, o_orderkey) | top 20 by k asc nulls first;", "SELECT o_orderkey, CASE WHEN o_orderkey < 10 THEN NULL ELSE o_orderkey END AS k FROM orders ORDER BY k ASC NULLS FIRST LIMIT 20"),
+    "top_asc_nulls_first": Query("orders", "(o_orderkey as long) | project k = case when (o_orderkey > 9) then o_orderkey end | top 20 by k asc nulls first | summarize n = count(), nulls = count_if(k is null), high = max(k), low = min(k);", "SELECT count(*) AS n, count(*) FILTER (k IS NULL) AS nulls, max(k) AS high, min(k) AS low FROM (SELECT CASE WHEN o_orderkey > 9 THEN o_orderkey END AS k FROM orders ORDER BY k ASC NULLS FIRST LIMIT 20)"),
+    "top_desc_nulls_last": Query("orders", "(o_orderkey as long) | project k = case when (o_orderkey > 9) then o_orderkey end | top 20 by k desc nulls last;", "SELECT o_orderkey, CASE WHEN o_orderkey > 9 THEN o_orderkey END AS k FROM orders ORDER BY k DESC NULLS LAST LIMIT 20"),
     "distinct_rows": Query("lineitem", "(l_returnflag as string, l_linestatus as string) | distinct;", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
     "distinct_by": Query("customer", CUST + "| distinct by c_nationkey, big = c_acctbal > 5000;", "SELECT DISTINCT c_nationkey, c_acctbal > 5000 AS big FROM customer"),
-    "explode": Query("embeddings", "(vec_id as long, embedding as array) | where vec_id < 100 | explode embedding as double | project-rename x = embedding;", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 100"),
-    "explode_all": Query("embeddings", "(vec_id as long, embedding as array) | explode embedding as double | project-rename x = embedding;", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"),
+    "explode": Query("embeddings", "(vec_id as long, embedding as array) | explode embedding as double | project-rename x = embedding;", "SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings"),
     "mv_expand_split": Query("part", PART + '| project word = split(p_name, " ") | mv-expand word | project-keep p_partkey, word;', "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part"),
     "ignore_error": Query("events", EV + "| project n = int(event_type), d = value / (user_id % 3) | project-remove n | ignore-error | project-keep event_id;", "SELECT event_id FROM events WHERE user_id % 3 <> 0 AND value IS NOT NULL"),
-    "error_cells_null": Query("events", EV + "| project d = 10 div (user_id % 3), bad = int(event_type) | project-keep event_id, d, bad;", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(10 // (user_id % 3) AS BIGINT) END AS d, CAST(NULL AS INTEGER) AS bad FROM events"),
+    "error_cells_null": Query("events", EV + "| project d = 10 div (user_id % 3), bad = int(event_type) | project mixed = int(if(user_id % 2 == 0, string(user_id), event_type)) | project-keep event_id, d, bad, mixed;", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE CAST(10 // (user_id % 3) AS BIGINT) END AS d, TRY_CAST(event_type AS INTEGER) AS bad, CASE WHEN user_id % 2 = 0 THEN CAST(user_id AS INTEGER) END AS mixed FROM events"),
     "lookup": Query("customer", "(c_custkey as long, c_nationkey as int) | lookup nation = n_name, n_regionkey as long from nations on c_nationkey;", "SELECT c_custkey, c_nationkey, n_name AS nation, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey", NATION),
-    "lookup_first_match": Query("customer", "(c_custkey as long) | lookup first_order = o_orderkey from orders_ on c_custkey | project found = first_order is not null | project-remove first_order;", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS found FROM customer", {"orders_": ("orders", "o_custkey")}),
+    "lookup_first_match": Query("customer", "(c_custkey as long) | lookup first_order = o_orderkey, price = o_totalprice from orders_ on c_custkey | project found = first_order is not null;", "SELECT c_custkey, first_order, price, first_order IS NOT NULL AS found FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order, arg_min(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1) ON c_custkey = o_custkey", {"orders_": ("orders", "o_custkey")}),
     "join_left_inner": Query("customer", "(c_custkey as long, c_mktsegment as string) | join kind=left-inner o_orderkey, price = o_totalprice from orders_ on c_custkey;", "SELECT c_custkey, c_mktsegment, o_orderkey, o_totalprice AS price FROM customer JOIN orders ON c_custkey = o_custkey", {"orders_": ("orders", "o_custkey")}),
     "join_left_outer": Query("customer", "(c_custkey as long) | join kind=left-outer o_orderkey, o_orderstatus from orders_ on c_custkey;", "SELECT c_custkey, o_orderkey, o_orderstatus FROM customer LEFT JOIN orders ON c_custkey = o_custkey", {"orders_": ("orders", "o_custkey")}),
     "lookup_two_steps": Query("supplier", "(s_suppkey as long, s_nationkey as int) | lookup n_name, n_regionkey from nations on s_nationkey | lookup region = r_name from regions on n_regionkey;", "SELECT s_suppkey, s_nationkey, n_name, n_regionkey, r_name AS region FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey", NATION | {"regions": ("region", "r_regionkey")}),
     "lookup_function": Query("customer", "(c_custkey as long, c_mktsegment as string) | lookup word, code as long from f on c_mktsegment;", "SELECT c_custkey, c_mktsegment, word, CAST(code AS BIGINT) AS code FROM customer LEFT JOIN (VALUES ('AUTOMOBILE', 'car', 1), ('BUILDING', 'house', 2), ('MACHINERY', 'tool', 3)) t(k, word, code) ON c_mktsegment = k", {"f": lambda s, d: function_source(segment_rows_async, {"word": "string", "code": "long"}, 4)}),
     "join_key_fetch": Query("nation", "(n_nationkey as int) | join kind=left-outer name, age from people on n_nationkey;", f"SELECT n_nationkey, name, CAST(age AS INTEGER) AS age FROM nation LEFT JOIN {PEOPLE} ON n_nationkey = g", {"people": lambda s, d: FetchSource(in_memory_sqlite(), {"name": "string", "age": "int"})}),
     "udf_python": Query("customer", "(c_custkey as long, c_name as string) | project tag = shout(c_name, c_custkey);", "SELECT c_custkey, c_name, upper(c_name) || '!' || CAST(c_custkey AS VARCHAR) AS tag FROM customer", udfs={"shout": (lambda s, n: f"{s.upper()}!{n}", "string")}),
+    "udf_vectorised": Query("customer", "(c_custkey as long, c_acctbal as double) | project cents = to_cents(c_acctbal);", "SELECT c_custkey, c_acctbal, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer", udfs={"to_cents": lambda e: e.register_vectorised("to_cents", cents, "long")}),
+    "udf_native": Query("customer", "(c_custkey as long, c_name as string) | project tag = tagged(c_name, c_custkey % 10);", "SELECT c_custkey, c_name, upper(c_name) || '/' || (c_custkey % 10) AS tag FROM customer", udfs={"tagged": lambda e: e.register_expression("tagged", "concat(upper({0}), '/', {1})", "string")}),
+    "udf_error_is_a_cell": Query("customer", "(c_custkey as long) | project half = halved(c_custkey) | ignore-error;", "SELECT c_custkey, c_custkey // 2 AS half FROM customer WHERE c_custkey % 2 = 0", udfs={"halved": (halved, "long")}),
     "fn_math": Query("part", PART + "| project a = floor(p_retailprice), b = ceil(p_retailprice), c = round(sqrt(p_size) * 1000), d = mod(0 - p_size, 7), e = sign(p_size - 25), f = bucket(p_size, 10, 20, 40), g = factorial(p_size % 10), h = round(log(p_size, 2) * 1000), i = abs(p_size - 25) | project-keep p_partkey, a, b, c, d, e, f, g, h, i;",
         "SELECT p_partkey, floor(p_retailprice) AS a, ceil(p_retailprice) AS b, round(sqrt(p_size) * 1000) AS c, CAST(((-p_size % 7) + 7) % 7 AS DOUBLE) AS d, CAST(sign(p_size - 25) AS DOUBLE) AS e, CAST(CASE WHEN p_size < 10 THEN 0 WHEN p_size < 20 THEN 1 WHEN p_size < 40 THEN 2 ELSE 3 END AS BIGINT) AS f, CAST(factorial(CAST(p_size % 10 AS INTEGER)) AS BIGINT) AS g, round(log2(p_size) * 1000) AS h, CAST(abs(p_size - 25) AS INTEGER) AS i FROM part"),
     "fn_trig": Query("part", "(p_partkey as long, p_size as int) | project x = p_size / 10.0 | project a = round(sin(x) * 1000000), b = round(cos(x) * 1000000), c = round(atan(x) * 1000000), d = round(exp(x)), e2 = round(degrees(x)), f = round(cbrt(x) * 1000000), g = round(hypot(x, 3.0) * 1000000), h = round(radians(p_size) * 1000000) | project-remove x, p_size;",
@@ -110,8 +125,8 @@ QUERIES: dict[str, Query] = {
         "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS a, CAST(month(o_orderdate) AS INTEGER) AS b, CAST(day(o_orderdate) AS INTEGER) AS c, CAST(quarter(o_orderdate) AS INTEGER) AS d, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) + INTERVAL 10 DAY AS e1, CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS f, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS g, CAST(epoch(o_orderdate) AS BIGINT) AS h, CAST(dayofyear(o_orderdate) AS INTEGER) AS i, CAST(weekofyear(o_orderdate) AS INTEGER) AS j FROM orders"),
     "fn_date_text": Query("orders", ORD + '| project s = string(o_orderdate) | project a = timestamp(s), b = to_unix_timestamp(s, "%Y-%m-%d %H:%M:%S"), c = hour(s) | project-keep o_orderkey, s, a, b, c;',
         "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS s, date_trunc('second', o_orderdate) AS a, CAST(floor(epoch(o_orderdate)) AS DOUBLE) AS b, CAST(hour(o_orderdate) AS INTEGER) AS c FROM orders"),
-    "fn_arrays": Query("part", PART + '| project w = split(p_name, " ") | project a = array_size(w), b = array_join(array_distinct(w), "|"), c = array_contains(w, "red"), d = element_at(w, 0), e1 = array_join(slice(w, 0, 2), "+"), f = array_max(w), g = array_position(w, w[0]) | project-keep p_partkey, a, c, d, e1, f, g;',
-        "SELECT p_partkey, CAST(len(w) AS BIGINT) AS a, list_contains(w, 'red') AS c, w[1] AS d, array_to_string(w[1:2], '+') AS e1, list_max(w) AS f, CAST(list_position(w, w[1]) AS BIGINT) AS g FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)"),
+    "fn_arrays": Query("part", PART + '| project w = split(p_name, " ") | project a = array_size(w), b = array_join(array_distinct(w), "|"), c = array_contains(w, "red"), d = element_at(w, 0), e1 = array_join(slice(w, 0, 2), "+"), f = array_max(w), g = array_position(w, w[0]) | project-keep p_partkey, a, b, c, d, e1, f, g;',
+        "SELECT p_partkey, CAST(len(w) AS BIGINT) AS a, CASE WHEN w[1] = w[2] THEN w[1] ELSE array_to_string(w, '|') END AS b, list_contains(w, 'red') AS c, w[1] AS d, array_to_string(w[1:2], '+') AS e1, list_max(w) AS f, CAST(list_position(w, w[1]) AS BIGINT) AS g FROM (SELECT *, string_split(p_name, ' ') AS w FROM part)"),
     "fn_maps": Query("part", PART + '| project m = map_from_arrays(array("brand", "type"), array(p_brand, p_type)) | project a = m.brand, b = map_contains_key(m, "x"), c = m["type"], d = array_size(map_keys(m)) | project-keep p_partkey, a, b, c, d;', "SELECT p_partkey, p_brand AS a, false AS b, p_type AS c, CAST(2 AS BIGINT) AS d FROM part"),
     "fn_json": Query("part", PART + '| project j = concat("{\\"n\\":\\"", p_brand, "\\",\\"l\\":[1,2,", string(p_size), "]}") | project a = get_json_object(j, "$.n"), b = array_join(get_json_array(j, "$.l[*]"), ","), c = json_array_length(get_json_object(j, "$.l")), d = array_join(json_object_keys(j), ",") | project-keep p_partkey, a, b, c, d;',
         "SELECT p_partkey, p_brand AS a, '1,2,' || p_size AS b, CAST(3 AS INTEGER) AS c, 'n,l' AS d FROM part"),
@@ -153,7 +168,7 @@ QUERIES |= {
     "agg_last_value": agg("last_value(o_custkey, true)", "arg_max(o_custkey, o_orderkey)"),
     "agg_array_agg": Query("orders", f"{AGG}| summarize x = array_agg(o_orderkey){BY[:-1]} | project v = array_join(x, \",\") | project-remove x;", f"SELECT o_orderstatus, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS v {FROM}", order_by="o_orderkey"),
     "agg_collect_list": Query("orders", f"{AGG}| summarize x = collect_list(o_orderkey){BY[:-1]} | project v = x[3], n = size(x) | project-remove x;", f"SELECT o_orderstatus, list(o_orderkey ORDER BY o_orderkey)[4] AS v, count(*) AS n {FROM}", order_by="o_orderkey"),
-    "agg_collect_set": Query("orders", f"{AGG}| summarize x = collect_set(o_orderpriority){BY[:-1]} | project v = size(x), top_ = array_max(x) | project-remove x;", f"SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS v, max(o_orderpriority) AS top_ {FROM}", order_by="o_orderkey"),
+    "agg_collect_set": Query("orders", f"{AGG}| summarize x = collect_set(o_orderpriority){BY[:-1]} | project v = size(x), top_ = array_max(x), all_ = array_join(x, \"|\") | project-remove x;", f"SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS v, max(o_orderpriority) AS top_, (SELECT string_agg(p, '|' ORDER BY k) FROM (SELECT o_orderpriority AS p, min(o_orderkey) AS k FROM orders i WHERE i.o_orderstatus = outer_.o_orderstatus GROUP BY 1)) AS all_ FROM orders outer_ GROUP BY o_orderstatus", order_by="o_orderkey"),
     "agg_array_agg_if": Query("orders", f"{AGG}| summarize x = array_agg_if(o_orderkey, flag){BY[:-1]} | project v = array_join(x, \",\") | project-remove x;", f"SELECT o_orderstatus, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) FILTER (flag), '') AS v {FROM}", order_by="o_orderkey"),
     "agg_global": Query("orders", f"{AGG}| summarize n = count(), top_price = max(cents);", "SELECT count(*) AS n, CAST(max(trunc(o_totalprice)) AS INTEGER) AS top_price FROM orders"),
     "agg_key_expression": Query("orders", f"{AGG}| summarize n = count() by y = o_custkey % 10;", "SELECT count(*) AS n, o_custkey % 10 AS y FROM orders GROUP BY 2"),
