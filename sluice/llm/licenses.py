@@ -228,7 +228,8 @@ def scan_licenses(files: DataFrame, threshold: float = 0.7) -> DataFrame:
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit(""))
     name = F.regexp_extract("path", "[^/]*$", 0)
     found = clean.mapInArrow(scan, "doc_id long, path string, declared string, cosine double, whole boolean")
-    found = materialise(found, scratch_dir(files.sparkSession), "found")  # read three times below
+    scratch = scratch_dir(files.sparkSession)
+    found = materialise(found, scratch, "found")  # read three times below
     found = found.withColumn("is_license_file", F.col("whole") | (F.col("declared").isNotNull() & name.rlike(LICENSE_NAME))).withColumn("dir", folder).drop("whole")
     covered = found.where("is_license_file").groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "declared")).alias("best")).select("dir", F.col("best.declared").alias("inherited"))
     # the ancestors of each directory once: 'a/b' is below 'a/b', 'a' and ''
@@ -236,6 +237,7 @@ def scan_licenses(files: DataFrame, threshold: float = 0.7) -> DataFrame:
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(parts))), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, 1, i), "/").alias("up")))).alias("a"))
     nearest = above.select("dir", "a.depth", F.col("a.up").alias("up")).join(covered.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "inherited")).alias("n")).select("dir", F.col("n.up").alias("inherited_from"), F.col("n.inherited").alias("inherited"))
-    out = found.join(nearest, "dir", "left")
+    # written first, so that both sides of the join are plain exchanges and the files of a hot directory can be split
+    out = found.join(materialise(nearest, scratch, "nearest"), "dir", "left")
     own = F.col("declared").isNotNull()
     return out.select("doc_id", "path", "declared", "cosine", "is_license_file", F.coalesce("declared", "inherited").alias("license"), F.when(~own, F.col("inherited_from")).alias("inherited_from"))
