@@ -119,15 +119,20 @@ def merge_topk(partial: DataFrame, k: int, fan_in: int = 64) -> DataFrame:
     return cut.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
 
 
-def exact_topk(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = 1024, shard_rows: int = 8192) -> DataFrame:
-    """k highest integer products of each query row with all rows of df. query_rows, shard_rows: the size of a tile."""
+def exact_topk(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", query_rows: int = 1024, shard_rows: int = 8192, blocks: int = 16) -> DataFrame:
+    """k highest integer products of each query row with all rows of df.
+
+    query_rows, shard_rows: the size of a tile; blocks: query blocks of a cell.
+    """
     packed = "dim int, n int, ids binary, data binary"
     q = valid_vectors(queries, id_col, vec_col).mapInArrow(pack(query_rows), packed)
     c = valid_vectors(df, id_col, vec_col).mapInArrow(pack(shard_rows), packed)
-    # packed query blocks are copied to each of `lanes` lanes of shards and meet the shards there
-    lanes = max(8, df.sparkSession.sparkContext.defaultParallelism)
-    c = c.withColumn("shard", F.monotonically_increasing_id()).withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int"))
-    q = q.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    tiles = q.join(c, "lane").select("q_dim", "q_ids", "q_data", "dim", "ids", "data", "shard")
+    # a grid of cells: about one shard and `blocks` query blocks meet in each, whatever the sizes of the tables
+    lanes, groups = max(1, -(-df.count() // shard_rows)), max(1, -(-queries.count() // (query_rows * blocks)))
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    c = c.select("dim", "ids", "data", F.monotonically_increasing_id().alias("shard"), dealt(lanes).alias("lane")).withColumn("group", every(groups))
+    q = q.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), dealt(groups).alias("group")).withColumn("lane", every(lanes))
+    tiles = q.join(c, ["lane", "group"]).select("q_dim", "q_ids", "q_data", "dim", "ids", "data", "shard")
     partial = tiles.mapInArrow(tile_topk(k), "query_id long, shard long, vec_id long, score long")
     return merge_topk(partial, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
