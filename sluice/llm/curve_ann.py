@@ -37,7 +37,7 @@ def directions(dim: int, curves: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng([seed, dim])
     need, cols = curves * DIMS, []
     while need > 0:
-        q = np.linalg.qr(rng.normal(size=(dim, dim)))[0] if dim <= 2048 else rng.normal(size=(dim, min(need, 256))) / np.sqrt(dim)
+        q = np.linalg.qr(rng.normal(size=(dim, min(dim, need))))[0]
         cols.append(q[:, :need])
         need -= cols[-1].shape[1]
     return np.concatenate(cols, axis=1)
