@@ -106,6 +106,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from those taken, whatever their case."""
+    prefix, low = "__", {t.lower() for t in taken}
+    while any((prefix + n).lower() in low for n in names):
+        prefix += "_"
+    return [prefix + n for n in names]
+
+
 def doc_texts(documents: DataFrame) -> DataFrame:
     """doc_id and whole text; a null text counts as empty, other columns are dropped."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, discard, gram_hashes, materialise, mix, paused, scratch_dir, split_words, word_hashes
+from .common import U, discard, free_names, gram_hashes, materialise, mix, paused, scratch_dir, split_words, word_hashes
 
 BASE = 0x9E3779B97F4A7C15 | 1
 NO_ID = -(1 << 63)
@@ -196,14 +196,15 @@ def cover(window: int, joined: pa.Schema):
 
 
 def strip_repeats(docs: DataFrame, window: int = 35, anchor: int = 8) -> DataFrame:
-    """docs with n_words, n_removed and kept; columns of docs with these names are replaced."""
+    """docs with n_words, n_removed and kept; columns of docs with these names are replaced, all others stay."""
     spark = docs.sparkSession
     spans = repeated_spans(docs, scratch_dir(spark), window, anchor)
-    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "spans", "__rid", "__th")]
-    rows = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__rid"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("__th"))
-    met = rows.join(spans.withColumnsRenamed({"rid": "__rid", "th": "__th"}), ["__rid", "__th"], "left").select(*own, "spans")
-    out = T.StructType([f for f in met.schema if f.name != "spans"]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    shape = pa.schema([pa.field(f.name, pa.null()) for f in met.schema])
+    own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    rid, th, at = free_names(docs.columns, "rid", "th", "spans")
+    rows = docs.select(*(F.col(f"`{c}`") for c in own), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(rid), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias(th))
+    met = rows.join(spans.withColumnsRenamed({"rid": rid, "th": th, "spans": at}), [rid, th], "left").select(*(F.col(f"`{c}`") for c in own), F.col(at))
+    out = T.StructType([f for f in met.schema if f.name != at]).add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    shape = pa.schema([pa.field("spans" if f.name == at else f.name if f.name == "text" else "", pa.null()) for f in met.schema])
     return met.mapInArrow(cover(window, shape), out)
 
 

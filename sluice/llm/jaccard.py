@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, discard, gram_hashes, materialise, mix, paused, scratch_dir, word_hashes
+from .common import U, discard, free_names, gram_hashes, materialise, mix, paused, scratch_dir, word_hashes
 from .components import components
 from .debruijn import NO_ID
 
@@ -295,8 +295,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without any word all stay. Columns and their order are those of docs; nulls count after all ids.
     """
     named, own = group_documents(docs, keep_all=True), docs.columns
-    keep = named.groupBy("low").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "th")).alias("at")).select(F.col("at.doc_id").alias("__id"), F.col("at.th").alias("__th"))
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    rid, th, k_id, k_th = free_names(own, "id", "th", "k_id", "k_th")
+    keep = named.groupBy("low").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid", "th")).alias("at")).select(F.col("at.doc_id").alias(k_id), F.col("at.th").alias(k_th))
+    rows = docs.withColumns({rid: F.col("doc_id").cast("long"), th: F.xxhash64(F.coalesce("text", F.lit("")))})
     blank = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x09-\\x0D\\x20]+", " ")) == ""
-    met = rows.where(~blank).join(keep.withColumnsRenamed({"__id": "k_id", "__th": "k_th"}), F.col("__id").eqNullSafe(F.col("k_id")) & (F.col("__th") == F.col("k_th")), "left_semi")
-    return met.dropDuplicates(["__id", "__th"]).select(*own).unionAll(rows.where(blank).select(*own))
+    met = rows.where(~blank).join(keep, F.col(rid).eqNullSafe(F.col(k_id)) & (F.col(th) == F.col(k_th)), "left_semi")
+    names = [F.col(f"`{c}`") for c in own]
+    return met.dropDuplicates([rid, th]).select(*names).unionAll(rows.where(blank).select(*names))

@@ -115,7 +115,7 @@ def test_repeats_equal_brute_force(docs, frame, empty):
         want = [(i, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for (i, _), (n, kept) in zip(docs, brute.repeats(docs, window), strict=True)]
         same([tuple(r) for r in debruijn.repeat_digests(frame, window=window, anchor=anchor).collect()], want)
     out = debruijn.strip_repeats(frame)
-    assert out.columns == ["doc_id", "text", "score", "n_words", "n_removed", "kept"]
+    assert out.columns == ["doc_id", "text", "spans", "score", "n_words", "n_removed", "kept"]
     assert debruijn.repeat_digests(empty).count() == 0
 
 
