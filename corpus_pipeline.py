@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import debruijn, jaccard, packing, quality
-from sluice.llm.common import doc_texts, materialise, scratch_dir, table
+from sluice.llm.common import doc_texts, free_names, materialise, scratch_dir, table
 from sluice.llm.queries import tokenizer_file
 
 
@@ -27,17 +27,28 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, a similarity of 0.8): the smallest doc_id stays."""
     return jaccard.one_of_each(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = debruijn.strip_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return done.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+    """All documents, without the words that a repeated window of 35 words covers.
+
+    A text that loses words is its kept words joined by one space, and n_chars, if the table has it, follows; all else
+    stays. Columns named like the operator's results (n_words, n_removed, kept) are the caller's own and stay too.
+    """
+    clash = [c for c in docs.columns if c in ("n_words", "n_removed", "kept")]
+    saved = dict(zip(clash, free_names(docs.columns, *clash), strict=True))
+    done = debruijn.strip_repeats(docs.withColumnsRenamed(saved))
+    lost = F.col("n_removed") > 0
+    new = {"text": F.when(lost, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(lost, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.select(*(new.get(c, F.col(f"`{saved.get(c, c)}`")).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts, a null one being empty, in sequences of at most 1024 tokens."""
     return packing.pack_documents(doc_texts(docs), tokenizer_file("byte_bpe_50k.json"))
 
 
