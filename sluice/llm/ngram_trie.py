@@ -5,40 +5,48 @@ p(w | u) = (c(u, w) - D) / c(u) + D * N(u) / c(u) * p(w | u'), p(w) = (c(w) + 1)
 before w, u' is u without its first word, c(u) sums the counts of u's successors and N(u) counts the distinct ones; an
 unseen context leaves p(w | u'). Before a document's first word stand end tokens.
 
-The trie holds contexts of 1 to n - 1 words. It is cut into shards by context (successors of very frequent contexts, named from a bounded sample, are spread over
-several shards). A shard has levels in one compact buffer: sorted context ids, monotone pointers to the successors of each
-context, running sums of the contexts' counts, successor ids relative to their context (monotone because the context's rank stands above them), each as
-Elias-Fano sequences, and the discounted counts quantised to 16 bits on a partly geometric scale. A query finds the context, then the
-successor by search inside the context's range only, which the pointers give. The buffer is an anonymous memory map that
-the task fills and reads: low bits, pointers' low bits and codes in place, while the unary high parts are expanded to 8
-bytes an entry as their select directory. Stored are quantised counts; probabilities are computed from them when scoring.
-
-Data flow: texts are dealt to blocks by hash. Each block sends every distinct n-gram of each order once to its shard, with
-the count in training rows; the shard sums the counts of all blocks, builds its trie, and answers each block in the order
-of its keys; blocks meet their answers and score every text. Both block and shard counts grow with the input and the
-order. Hot n-grams travel once a block, so no key gathers more than one entry from each block.
-
-Ids are 64-bit hashes of words and contexts (40 bits for successors within one context). Defined cases: a null text is the end token
-alone; a null doc_id is a training row; repeated rows are counted and scored each; without training rows every token has
-p = 1; extra columns are ignored.
+The trie has one part for each context length of 1 to n - 1 words, and is cut into shards by ranges of context ids
+(successors of very frequent contexts, named from a bounded sample, are spread over several). A part has levels in one
+compact buffer: sorted context ids, monotone pointers to the successors of each context, running sums of the contexts'
+counts, successor ids relative to their context (monotone because the context's rank stands above them), each as
+Elias-Fano sequences, and the discounted counts quantised to 16 bits on a partly geometric scale. A query finds the
+context, then the successor by search inside the context's range only, which the pointers give. The buffer is an anonymous
+memory map that the task fills and reads: low bits, pointers' low bits and codes in place, while the unary high parts are
+expanded to 8 bytes an entry as their select directory. Stored are quantised counts; probabilities are computed from them
+when scoring.
+
+Data flow: each task cuts its own rows to blocks. A block sends every distinct n-gram once to its shard, with the count in
+training rows, and the list of its documents; the shard sums the counts of all blocks, builds its trie, and answers each
+block in the order of its keys. Each distinct document (doc_id and text) then joins the numbers of its blocks and meets
+their answers: keys stand in the order of their hashes, so a block finds them again from its documents in any order. It is
+scored in one of them, and rows join the score of their document. Messages hold sorted ids as
+differences and all numbers as byte planes, compressed. A message goes from each block to each shard, so with blocks and
+shards of a fixed size their number grows with the square of the input, and messages get smaller (about 20 KB at 30 GB).
+
+Ids are 64-bit hashes of words; ids of contexts keep 20 bits more than the number of characters in the input has, those of
+successors 32 bits within one context (parts of a spread context are told by 6 more). Defined cases: a null text is the end token alone; a null doc_id is a training row;
+repeated rows are counted and scored each; without training rows every token has p = 1; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import mmap
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, discard, materialise, mix, scratch_dir, shuffle_partitions, word_hashes
+from .common import U, discard, materialise, mix, no_gc, paused, scratch_dir, shuffle_partitions, word_hashes
+from .debruijn import NO_ID
 from .quality import held_out_sql
 
 END = 0x9B97F4A7C15E3779
 DISCOUNT = 0.5
-SUCC_BITS = 40
+SUCC_BITS = 32
 SPREAD = 64
 
 
@@ -46,12 +54,17 @@ SPREAD = 64
 
 
 def pack_low(low: np.ndarray, bits: int) -> bytes:
-    """Fixed-width fields, least significant bit first; groups of 8 fields fill whole bytes."""
-    out = []
-    for at in range(0, len(low), 65536):
-        part = low[at : at + 65536]
-        out.append(np.packbits(((part[:, None] >> np.arange(bits, dtype=np.uint64)) & U(1)).astype(np.uint8), bitorder="little").tobytes())
-    return b"".join(out) + bytes(9)
+    """Fixed-width fields, least significant bit first, in 64-bit words; 64 fields fill `bits` words."""
+    groups = -(-len(low) // 64)
+    fields = np.zeros((groups, 64), dtype=np.uint64)
+    fields.ravel()[: len(low)] = low
+    out = np.zeros((groups, bits + 1), dtype=np.uint64)
+    for k in range(64 if bits else 0):
+        word, shift = divmod(k * bits, 64)
+        out[:, word] |= fields[:, k] << U(shift)
+        if shift + bits > 64:
+            out[:, word + 1] |= fields[:, k] >> U(64 - shift)
+    return out[:, :bits].tobytes() + bytes(16)
 
 
 class EliasFano:
@@ -60,7 +73,7 @@ class EliasFano:
     def __init__(self, buffer, at: int):
         head = np.frombuffer(buffer, np.int64, 4, at)
         self.n, self.bits, low, high = map(int, head)
-        self.low = np.frombuffer(buffer, np.uint8, low, at + 32)
+        self.low = np.frombuffer(buffer, np.uint64, low >> 3, at + 32)
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(buffer, np.uint8, high, at + 32 + low), bitorder="little"))
         self.high = (ones - np.arange(len(ones))).astype(np.uint64)  # the select directory of the bit vector
         self.end = at + 32 + low + high + (-(low + high)) % 8
@@ -80,12 +93,10 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), dtype=np.uint64)
         bit = i.astype(np.int64) * self.bits
-        byte, shift = bit >> 3, (bit & 7).astype(np.uint64)
+        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
         with np.errstate(over="ignore"):
-            out = np.zeros(len(i), dtype=np.uint64)
-            for k in range(8):
-                out |= self.low[byte + k].astype(np.uint64) << U(8 * k)
-            out = (out >> shift) | np.where(shift > 0, self.low[byte + 8].astype(np.uint64) << ((U(64) - shift) & U(63)), U(0))
+            out = self.low[word] >> shift
+            out |= (self.low[word + 1] << (U(63) - shift)) << U(1)
         return out & U((1 << self.bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
@@ -188,7 +199,53 @@ class Trie:
 # ---- blocks ----
 
 
-def streams(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def order_of(x: np.ndarray) -> np.ndarray:
+    """An order that sorts x: a sort of high bits and places, which is faster than argsort, then of the few ties left."""
+    if len(x) < 2:
+        return np.arange(len(x))
+    low = U((1 << len(x).bit_length()) - 1)
+    packed = (x & ~low) | np.arange(len(x), dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    y = x[order]
+    return order if (y[1:] >= y[:-1]).all() else order[np.argsort(y, kind="stable")]
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and the place of each x among them."""
+    order = order_of(x)
+    y = x[order]
+    new = np.concatenate([[True], y[1:] != y[:-1]]) if len(y) else np.empty(0, dtype=bool)
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return y[new], place
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers as compressed byte planes; high bytes that are all zero cost nearly nothing."""
+    planes = [np.array([len(a) for a in arrays], dtype=np.int64).tobytes()]
+    planes += [np.ascontiguousarray(a.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes, n: int) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    out, at = [], 8 * n
+    for size in np.frombuffer(raw, np.int64, n).tolist():
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T).view(np.uint64).ravel())
+        at += 8 * size
+    return out
+
+
+def gaps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=U(0))
+
+
+def ungap(x: np.ndarray) -> np.ndarray:
+    return np.add.accumulate(x, dtype=np.uint64)
+
+
+def streams(texts) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of all texts, each with its end token, and the texts' lengths."""
     out = []
     for t in texts:
@@ -210,146 +267,191 @@ def contexts(tokens: np.ndarray, lens: np.ndarray, order: int) -> np.ndarray:
     return np.stack(out)
 
 
-class BlockKeys:
-    """Distinct keys of a block in shard order, and where each token finds its own (contexts by length, then position)."""
-
-    def __init__(self, tokens: np.ndarray, lens: np.ndarray, shards: int, hot: np.ndarray, order: int):
-        self.words, self.word_of = np.unique(tokens, return_inverse=True)
-        with np.errstate(over="ignore"):
-            self.word_shard = (mix(self.words) % U(shards)).astype(np.int64)
-            ctx, succ = contexts(tokens, lens, order).ravel(), np.tile(mix(tokens) >> U(64 - SUCC_BITS), order - 1)
-            spread = np.where(np.isin(ctx, hot), succ % U(SPREAD), U(0)) if len(hot) else np.zeros(len(ctx), dtype=np.uint64)
-            # each part of a spread context is a context of its own here
-            _, first, part_of = np.unique(ctx + spread * U(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
-            self.ctx = ctx[first]
-            self.ctx_shard = ((mix(self.ctx) % U(shards) + spread[first]) % U(shards)).astype(np.int64)
-        self.word_order = np.argsort(self.word_shard, kind="stable")
-        place = np.lexsort((self.ctx, self.ctx_shard))
-        self.ctx, self.ctx_shard = self.ctx[place], self.ctx_shard[place]
-        if len(place) >> (64 - SUCC_BITS):
-            raise ValueError(f"a block has {len(place)} contexts; use smaller blocks")
-        rank = np.empty(len(place), dtype=np.uint64)
-        rank[place] = np.arange(len(place), dtype=np.uint64)
-        rank = rank[part_of]
-        self.context_of = rank.astype(np.int32)
-        pair, self.pair_of = np.unique((rank << U(SUCC_BITS)) | succ, return_inverse=True)
+def spread_id(context: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The id of a part of a spread context."""
+    with np.errstate(over="ignore"):
+        return mix(context + (part + U(1)) * U(0x9E3779B97F4A7C15))
+
+
+class Level:
+    """Distinct contexts of one length in a block, their successors in order, and where each token finds its own pair."""
+
+    def __init__(self, context: np.ndarray, succ: np.ndarray, part: np.ndarray, hot: np.ndarray, bits: int):
+        ids = mix(context)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+            on = np.flatnonzero(hot[at] == context)
+            ids[on] = spread_id(context[on], part[on])
+        self.ctx, rank = distinct(ids >> U(64 - bits))
+        if len(self.ctx) >> (64 - SUCC_BITS):
+            raise ValueError(f"a block has {len(self.ctx)} contexts; use smaller blocks")
+        pair, self.pair_of = distinct((rank.astype(np.uint64) << U(SUCC_BITS)) | succ)
         self.succ, self.pair_ctx = pair & U((1 << SUCC_BITS) - 1), (pair >> U(SUCC_BITS)).astype(np.int64)
+        if len(hot):
+            self.hot_of = np.full(len(self.ctx), -1, dtype=np.int64)
+            self.hot_of[rank[on]] = at[on]
 
 
-def emit(shards: int, hot: np.ndarray, order: int):
-    def run(t: pa.Table) -> pa.Table:
-        gc.disable()
-        tokens, lens = streams(t.column("text"))
-        keys = BlockKeys(tokens, lens, shards, hot, order)
-        train = np.repeat(~t.column("held_out").to_numpy(), lens)
-        word_count = np.bincount(keys.word_of[train], minlength=len(keys.words))[keys.word_order].astype(np.uint32)
-        pair_count = np.bincount(keys.pair_of[np.tile(train, order - 1)], minlength=len(keys.succ)).astype(np.uint32)
-        words, runs = keys.words[keys.word_order], np.bincount(keys.pair_ctx, minlength=len(keys.ctx)).astype(np.uint32)
-        wcut = np.searchsorted(keys.word_shard[keys.word_order], np.arange(shards + 1))
-        ccut = np.searchsorted(keys.ctx_shard, np.arange(shards + 1))
-        pcut = np.searchsorted(keys.pair_ctx, ccut)
-        out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
-        block = t.column("blk")[0].as_py()
-        for s in range(shards):
-            w, c, p = slice(wcut[s], wcut[s + 1]), slice(ccut[s], ccut[s + 1]), slice(pcut[s], pcut[s + 1])
-            if w.start == w.stop and p.start == p.stop:
-                continue
-            five = keys.succ[p].view(np.uint8).reshape(-1, 8)[:, :5]
-            for col, x in zip(out, (block, s, words[w].tobytes(), word_count[w].tobytes(), keys.ctx[c].tobytes(), runs[c].tobytes(), np.ascontiguousarray(five).tobytes(), pair_count[p].tobytes()), strict=True):
-                col.append(x)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], ["blk", "shard", "words", "word_count", "ctx", "runs", "succ", "pair_count"])
-
-    return run
+class BlockKeys:
+    """Distinct keys of a block in the order of their ids: words, and contexts of each length with their successors."""
+
+    def __init__(self, tokens: np.ndarray, lens: np.ndarray, hot: np.ndarray, order: int, bits: int):
+        self.words, self.word_of = distinct(tokens)
+        ids = mix(tokens)
+        succ, part = ids >> U(64 - SUCC_BITS), ids % U(SPREAD)
+        self.levels = [Level(c, succ, part, hot, bits) for c in contexts(tokens, lens, order)]
+
+
+def cuts(ids: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard's range of ids of so many bits begins and ends among sorted ids."""
+    return np.searchsorted(ids, np.array([-(-(k << bits) // shards) for k in range(shards)], dtype=np.uint64)).tolist() + [len(ids)]
+
+
+KEYS = "blk long, shard long, body binary, docs binary"
+
+
+def emit(shards: int, hot: np.ndarray, order: int, bits: int, block_chars: int):
+    """Rows (rid, th, held_out, text) to one message for each shard and block; the first one lists the block's documents."""
+
+    def messages(block: int, texts: list, held_out: list[bool], docs: np.ndarray) -> Iterator[tuple]:
+        tokens, lens = streams(texts)
+        keys = BlockKeys(tokens, lens, hot, order, bits)
+        train = np.repeat(~np.array(held_out), lens)
+        word_count = np.bincount(keys.word_of[train], minlength=len(keys.words))
+        counts = [np.bincount(v.pair_of[train], minlength=len(v.succ)) for v in keys.levels]
+        runs = [np.bincount(v.pair_ctx, minlength=len(v.ctx)) for v in keys.levels]
+        wcut = cuts(keys.words, 64, shards)
+        ccuts = [cuts(v.ctx, bits, shards) for v in keys.levels]
+        pcuts = [np.searchsorted(v.pair_ctx, c) for v, c in zip(keys.levels, ccuts, strict=True)]
+        for k in range(shards):
+            w = slice(wcut[k], wcut[k + 1])
+            arrays = [gaps(keys.words[w]), word_count[w]]
+            for v, n, run, c, p in zip(keys.levels, counts, runs, ccuts, pcuts, strict=True):
+                ctx, pair = slice(c[k], c[k + 1]), slice(p[k], p[k + 1])
+                arrays += [gaps(v.ctx[ctx]), run[ctx], v.succ[pair], n[pair]]
+            if k == block % shards or any(map(len, arrays)):
+                yield block, k, pack(*arrays), docs.tobytes() if k == block % shards else None
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["blk", "shard", "body", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, texts, held, ids, size = TaskContext.get().partitionId() << 30, [], [], [], 0
+        rows: list[tuple] = []
+        for b in batches:
+            for rid, th, held_out, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                texts.append(text)
+                held.append(held_out)
+                ids.append((rid, th))
+                size += len(text.as_buffer())
+                if size >= block_chars:
+                    yield batch(list(messages(block, texts, held, np.array(ids, dtype=np.int64))))
+                    block, texts, held, ids, size = block + 1, [], [], [], 0
+        if texts:
+            rows = list(messages(block, texts, held, np.array(ids, dtype=np.int64)))
+            yield batch(rows)
+
+    return paused(run)
+
+
+def build_part(ctx: np.ndarray, runs: np.ndarray, succ: np.ndarray, count: np.ndarray) -> bytes:
+    """The trie of one context length from the keys of all blocks."""
+    known = count > 0
+    names, rank = distinct(np.repeat(ctx, runs.astype(np.int64))[known])
+    key = (rank.astype(np.uint64) << U(SUCC_BITS)) | succ[known].astype(np.uint64)
+    order = order_of(key)
+    key = key[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
+    total = np.add.reduceat(count[known][order].astype(np.int64), head) if len(head) else np.empty(0, dtype=np.int64)
+    key = key[head]
+    return Trie.dump(names[(key >> U(SUCC_BITS)).astype(np.int64)], key & U((1 << SUCC_BITS) - 1), total)
 
 
-KEYS = "blk long, shard long, words binary, word_count binary, ctx binary, runs binary, succ binary, pair_count binary"
+def taken(body: list, k: int) -> np.ndarray:
+    """An array of a message, which the message lets go of."""
+    x, body[k] = body[k], None
+    return x
 
 
-def unpack(row: dict) -> tuple[np.ndarray, ...]:
-    five = np.frombuffer(row["succ"], np.uint8).reshape(-1, 5)
-    succ = np.zeros((len(five), 8), dtype=np.uint8)
-    succ[:, :5] = five
-    ctx = np.repeat(np.frombuffer(row["ctx"], np.uint64), np.frombuffer(row["runs"], np.uint32))
-    return np.frombuffer(row["words"], np.uint64), np.frombuffer(row["word_count"], np.uint32), ctx, succ.view(np.uint64).ravel(), np.frombuffer(row["pair_count"], np.uint32)
+ANSWERS = "blk long, shard long, body binary, docs binary"
 
 
-def summed(keys: tuple[np.ndarray, ...], count: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Distinct keys (first key leads) in order and their summed counts."""
-    order = np.lexsort(keys[::-1])
-    keys, count = tuple(k[order] for k in keys), count[order]
-    new = np.zeros(len(count), dtype=bool)
-    if len(count):
-        new[0] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-    head = np.flatnonzero(new)
-    return tuple(k[head] for k in keys), np.add.reduceat(count.astype(np.int64), head) if len(head) else np.empty(0, dtype=np.int64)
+def answer(order: int, hot_parts: np.ndarray):
+    """One shard: builds the trie and answers each block; a row with blk -1 has the shard's sums."""
 
+    def run(t: pa.Table) -> pa.Table:
+        with no_gc():
+            return pa.table(dict(zip(("blk", "shard", "body", "docs"), answers(t), strict=True)), schema=pa.schema([("blk", pa.int64()), ("shard", pa.int64()), ("body", pa.binary()), ("docs", pa.binary())]))
+
+    def answers(t: pa.Table) -> tuple[list, list, list, list]:
+        blocks, shard = t.column("blk").to_pylist(), t.column("shard")[0].as_py()
+        bodies = [unpack(b.as_py(), 2 + 4 * (order - 1)) for b in t.column("body")]
+        back: list[list] = [[] for _ in bodies]
+        words, place = distinct(np.concatenate([ungap(b[0]) for b in bodies]))
+        count = np.bincount(place, weights=np.concatenate([b[1] for b in bodies]), minlength=len(words)).astype(np.int64)
+        ends = np.cumsum([len(b[0]) for b in bodies])[:-1]
+        for out, part in zip(back, np.split(place, ends), strict=True):
+            out.append(count[part])
+        own: list[np.ndarray] = [np.array([count.sum(), (count > 0).sum()])]
+        for level in range(order - 1):
+            ctx = np.concatenate([ungap(taken(b, 2 + 4 * level)) for b in bodies])
+            c_ends, p_ends = (np.cumsum([len(b[2 + 4 * level + k]) for b in bodies])[:-1] for k in (1, 2))
+            runs, succ, counts = (np.concatenate([taken(b, 2 + 4 * level + k).astype(np.uint32) for b in bodies]) for k in (1, 2, 3))
+            trie = Trie.mapped(build_part(ctx, runs, succ, counts))
+            at = trie.rank(hot_parts.ravel())
+            own += [trie.spans(level_, at).reshape(hot_parts.shape).sum(axis=1) if hot_parts.size else np.empty(0, dtype=np.int64) for level_ in (trie.pointers, trie.sums)]
+            rank = trie.rank(ctx)
+            fan, sums, codes = trie.spans(trie.pointers, rank), trie.spans(trie.sums, rank), trie.codes_at(np.repeat(rank, runs.astype(np.int64)), succ)
+            del trie
+            for out, *parts in zip(back, np.split(fan, c_ends), np.split(sums, c_ends), np.split(codes, p_ends), strict=True):
+                out += parts
+        docs = t.column("docs").to_pylist()
+        return [-1, *blocks], [shard] * (len(blocks) + 1), [pack(*own), *(pack(*out) for out in back)], [None, *docs]
 
-def build_shard(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Known words, their counts, and the trie of a shard from the keys of all blocks."""
-    (words,), count = summed((np.concatenate([r[0] for r in rows]),), np.concatenate([r[1] for r in rows]))
-    known = count > 0
-    pairs = [(r[2][r[4] > 0], r[3][r[4] > 0], r[4][r[4] > 0]) for r in rows]
-    (ctx, succ), pair_count = summed((np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])), np.concatenate([p[2] for p in pairs]))
-    return words[known], count[known], Trie.dump(ctx, succ, pair_count)
+    return run
 
 
-def answer(hot: np.ndarray):
-    """One shard: builds the trie and answers each block; a row with blk -1 has the shard's sums."""
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (blk, docs) to (rid, th, blk)."""
+    for b in batches:
+        for blk, docs in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            ids = np.frombuffer(docs.as_py(), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(ids[:, 1]), pa.array(np.full(len(ids), blk))], ["rid", "th", "blk"])
 
-    def run(t: pa.Table) -> pa.Table:
-        gc.disable()
-        raw = t.to_pylist()
-        rows = [unpack(r) for r in raw]
-        words, count, data = build_shard(rows)
-        trie = Trie.mapped(data)
-        at = trie.rank(hot)
-        out: tuple[list, ...] = ([-1], [raw[0]["shard"]], [np.array([count.sum(), len(count)], dtype=np.int64).tobytes()], [trie.spans(trie.pointers, at).tobytes()], [trie.spans(trie.sums, at).tobytes()], [b""])
-        for r, (w, _, _, succ, _) in zip(raw, rows, strict=True):
-            c = np.zeros(len(w), dtype=np.uint32)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, w), len(words) - 1)
-                c = np.where(words[at] == w, count[at], 0).astype(np.uint32)
-            rank = trie.rank(np.frombuffer(r["ctx"], np.uint64))
-            codes = trie.codes_at(np.repeat(rank, np.frombuffer(r["runs"], np.uint32)), succ)
-            for col, x in zip(out, (r["blk"], r["shard"], c.tobytes(), trie.spans(trie.pointers, rank).astype(np.uint32).tobytes(), trie.spans(trie.sums, rank).astype(np.uint32).tobytes(), codes.tobytes()), strict=True):
-                col.append(x)
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *(pa.array(c, pa.binary()) for c in out[2:])], ["blk", "shard", "counts", "fanout", "sums", "codes"])
 
-    return run
+SCORES = "rid long, th long, n_tokens long, n_known long, base_score double, score double"
 
 
-def score_block(shards: int, hot: np.ndarray, hot_fanout: np.ndarray, hot_sums: np.ndarray, total: int, distinct: int, order: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+def score_block(hot: np.ndarray, hot_fanout: list[np.ndarray], hot_sums: list[np.ndarray], total: int, distinct_words: int, order: int, bits: int):
+    """The documents (main, rid, th, text) of a block, all of which it needs for its keys, and its answers to scores of the main ones."""
+    schema = pa.schema([("rid", pa.int64()), ("th", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        gc.disable()
-        if not docs.num_rows:
-            return schema.empty_table()
+        with no_gc():
+            return scored(docs, answers) if docs.num_rows else schema.empty_table()
+
+    def scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, lens = streams(docs.column("text"))
-        keys = BlockKeys(tokens, lens, shards, hot, order)
+        keys = BlockKeys(tokens, lens, hot, order, bits)
         by_shard = sorted(answers.to_pylist(), key=lambda r: r["shard"])
-        joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in by_shard), kind)
-        c = np.empty(len(keys.words))
-        c[keys.word_order] = joined("counts", np.uint32)
-        fan, sums_of, codes = joined("fanout", np.uint32).astype(np.int64), joined("sums", np.uint32).astype(np.int64), joined("codes", np.uint16)
-        if len(hot):  # successors of spread contexts lie in several shards: their sums came separately
-            at = np.minimum(np.searchsorted(hot, keys.ctx), len(hot) - 1)
-            is_hot = hot[at] == keys.ctx
-            fan, sums_of = np.where(is_hot, hot_fanout[at], fan), np.where(is_hot, hot_sums[at], sums_of)
-        base = ((c + 1) / (total + distinct + 1))[keys.word_of]
+        bodies = [unpack(r["body"], 1 + 3 * (order - 1)) for r in by_shard]
+        all_of = lambda k: np.concatenate([b[k] for b in bodies]).astype(np.int64)
+        c = all_of(0)
+        base = ((c + 1) / (total + distinct_words + 1))[keys.word_of]
         p = base
-        for level in range(order - 1):
-            part = slice(level * len(tokens), (level + 1) * len(tokens))
-            of = keys.context_of[part]
-            seen = sums_of[of]
-            p = np.where(seen > 0, (LEVELS[codes[keys.pair_of[part]]] + DISCOUNT * fan[of] * p) / np.maximum(seen, 1), p)
+        for k, level in enumerate(keys.levels):
+            fan, sums_of, codes = (all_of(1 + 3 * k + j) for j in range(3))
+            if len(hot):  # successors of spread contexts lie in several shards: their sums came separately
+                is_hot = level.hot_of >= 0
+                fan, sums_of = np.where(is_hot, hot_fanout[k][level.hot_of], fan), np.where(is_hot, hot_sums[k][level.hot_of], sums_of)
+            context_of = level.pair_ctx[level.pair_of]
+            seen = sums_of[context_of]
+            p = np.where(seen > 0, (LEVELS[codes[level.pair_of]] + DISCOUNT * fan[context_of] * p) / np.maximum(seen, 1), p)
         first = np.cumsum(lens) - lens
         sums = lambda x: np.add.reduceat(x, first)
         known = sums((c > 0)[keys.word_of].astype(np.int64))
-        cols = [docs.column("doc_id"), docs.column("held_out"), pa.array(lens), pa.array(known), pa.array(np.full(len(lens), total, dtype=np.int64)), pa.array(sums(np.log10(base))), pa.array(sums(np.log10(p)))]
-        return pa.table(cols, schema=schema)
+        cols = [docs.column("rid"), docs.column("th"), pa.array(lens), pa.array(known), pa.array(sums(np.log10(base))), pa.array(sums(np.log10(p)))]
+        return pa.table(cols, schema=schema).filter(docs.column("main"))
 
     return run
 
@@ -369,28 +471,33 @@ def frequent_contexts(texts: DataFrame, total_chars: int, sample_chars: int, ord
     return np.sort(np.array([r["w"] for r in got], dtype=np.int64).view(np.uint64))
 
 
-def trie_scores(documents: DataFrame, order: int = 2, block_chars: int = 12_000_000, shard_chars: int = 24_000_000, sample_chars: int = 20_000_000) -> DataFrame:
+def trie_scores(documents: DataFrame, order: int = 2, block_chars: int = 12_000_000, shard_chars: int = 12_000_000, sample_chars: int = 20_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of documents(doc_id, text); order is 2 at least."""
     spark = documents.sparkSession
     folder = scratch_dir(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text, F.col("doc_id").cast("long")).alias("th"))
-    size = documents.agg(F.sum(F.length("text"))).first()[0] or 0
-    least = shuffle_partitions(spark)
-    blocks, shards = max(least, -(-size * (order - 1) // block_chars)), max(least, -(-size * (order - 1) // shard_chars))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(text).alias("th"), held_out_sql(7, 2).alias("held_out"), text.alias("text"))
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(shuffle_partitions(spark), -(-size * (order - 1) // shard_chars))
+    bits = min(64, max(48, size.bit_length() + 20))
     hot = frequent_contexts(rows, size, sample_chars, order)
-    dealt = rows.select(F.pmod("th", F.lit(blocks)).alias("blk"), "doc_id", held_out_sql(7, 2).alias("held_out"), "text")
-    keys = dealt.groupBy("blk").applyInArrow(emit(shards, hot, order), KEYS)
-    answers = materialise(keys.groupBy("shard").applyInArrow(answer(hot), "blk long, shard long, counts binary, fanout binary, sums binary, codes binary"), folder, "answers")
-    total = distinct = 0
-    hot_fanout, hot_sums = np.zeros(len(hot), dtype=np.int64), np.zeros(len(hot), dtype=np.int64)
-    for r in answers.where("blk = -1").select("counts", "fanout", "sums").toLocalIterator():  # one row a shard, at most 16 KB each and order
-        n, v = np.frombuffer(r["counts"], np.int64)
-        total, distinct = total + int(n), distinct + int(v)
-        hot_fanout += np.frombuffer(r["fanout"], np.int64)
-        hot_sums += np.frombuffer(r["sums"], np.int64)
-    del keys
-    discard(spark, folder)
-    scored = dealt.groupBy("blk").cogroup(answers.where("blk >= 0").groupBy("blk"))
-    return scored.applyInArrow(score_block(shards, hot, hot_fanout, hot_sums, total, distinct, order), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
+    parts = (spread_id(hot[:, None], np.arange(SPREAD, dtype=np.uint64)[None, :]) >> U(64 - bits)) if len(hot) else np.empty((0, SPREAD), dtype=np.uint64)
+    keys = rows.select("rid", "th", "held_out", "text").mapInArrow(emit(shards, hot, order, bits, block_chars), KEYS)
+    answers = materialise(keys.groupBy("shard").applyInArrow(answer(order, parts), ANSWERS), folder, "answers")
+    total = words = 0
+    hot_fanout, hot_sums = ([np.zeros(len(hot), dtype=np.int64) for _ in range(order - 1)] for _ in range(2))
+    for r in answers.where("blk = -1").select("body").toLocalIterator():  # one row a shard, a few bytes for each hot context
+        own = unpack(r["body"], 1 + 2 * (order - 1))
+        total, words = total + int(own[0][0]), words + int(own[0][1])
+        for k in range(order - 1):
+            hot_fanout[k] += own[1 + 2 * k].astype(np.int64)
+            hot_sums[k] += own[2 + 2 * k].astype(np.int64)
+    # documents are told by doc_id and text; one that repeats may lie in several blocks, and is scored in the first
+    of = answers.where("docs is not null").select("blk", "docs").mapInArrow(places, "rid long, th long, blk long").groupBy("rid", "th").agg(F.collect_set("blk").alias("blks"))
+    unique = rows.groupBy("rid", "th").agg(F.first("text").alias("text"))
+    dealt = unique.join(of, ["rid", "th"]).select(F.explode("blks").alias("blk"), F.array_min("blks").alias("one"), "rid", "th", "text").withColumn("main", F.col("blk") == F.col("one")).drop("one")
+    scored = dealt.groupBy("blk").cogroup(answers.where("blk >= 0").select("blk", "shard", "body").groupBy("blk"))
+    scores = scored.applyInArrow(score_block(hot, hot_fanout, hot_sums, total, words, order, bits), SCORES)
+    scores = materialise(scores, folder, "scores")
+    discard(spark, folder, "answers")
+    return rows.select("rid", "th", "doc_id", "held_out").join(scores, ["rid", "th"]).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
