@@ -158,12 +158,12 @@ def repeated_spans(docs: DataFrame, folder: str, window: int = 35, anchor: int =
     discard(spark, folder, "blocks")
     straight, fork = shared.where("not branch"), shared.where("branch")
     variants = materialise(fork.groupBy("anchor", "path").agg(F.count("*").alias("c"), F.min(F.struct("rid", "th", "start", "n")).alias("at")), folder, "variants")
-    whole = fork.join(variants.where("c > 1").select("anchor", "path"), ["anchor", "path"])
+    whole = fork.join(variants.where("c > 1").select("anchor", "path"), ["anchor", "path"], "left_semi")
     sources = variants.groupBy(F.col("at.rid").alias("rid"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", (F.col("c") > 1).alias("known"))).alias("variants"))
     met = rows.join(sources, ["rid", "th"]).select("rid", "th", "text", "variants")
     edges = materialise(met.mapInArrow(variant_windows(window), "anchor long, edge long, rid long, th long, start int, known boolean"), folder, "edges")
     twice = edges.groupBy("anchor", "edge").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "edge")
-    single = edges.where("not known").join(twice, ["anchor", "edge"]).withColumn("n", F.lit(1))
+    single = edges.where("not known").join(twice, ["anchor", "edge"], "left_semi").withColumn("n", F.lit(1))
     cols = ["rid", "th", "start", "n"]
     found = straight.select(*cols).unionAll(whole.select(*cols)).unionAll(single.select(*cols))
     return found.groupBy("rid", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
