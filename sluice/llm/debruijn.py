@@ -7,15 +7,14 @@ windows have equal anchors at equal places, so a repeat is found among the block
 fourteen words travels instead of one per word.
 
 Spark joins then tell the cases apart:
-1. an anchor that occurs once ends all its edges: nothing repeats;
-2. an anchor all of whose blocks are equal is a nonbranching path that repeats as a whole;
-3. at the other anchors (branches) equal blocks are one variant; a variant that occurs twice repeats as a whole. One
-   source coordinate for each variant leads back to its text, where its single windows are hashed anew; a window that
-   two variants share is a repeat.
+1. equal blocks are one class, summed before they travel; a class that occurs twice is a path that repeats as a whole;
+2. an anchor with one class doesn't branch: nothing else repeats there;
+3. at the other anchors (branches) one source coordinate for each class leads back to its text, where its single windows
+   are hashed anew; a window that two classes share is a repeat.
 Spans go back to their documents by source coordinates (document, first word, windows).
 
 Two blocks or windows count as equal when the anchor's 64-bit hash and their own independent 64-bit hash agree; the words
-themselves are never compared, and source coordinates lead back to a text only for the variants at branches.
+themselves are never compared, and source coordinates lead back to a text only for the classes at branches.
 
 A row is told by doc_id and a hash of its text. Defined cases: a null text has no words; a null doc_id is a document too;
 texts shorter than a window keep all words; exact repeats of a row repeat each other's windows; overlapping repeats in one
@@ -151,21 +150,22 @@ def repeated_spans(docs: DataFrame, folder: str, window: int = 35, anchor: int =
     spark = docs.sparkSession
     rows = keyed(docs)
     blocks = materialise(rows.mapInArrow(compact(window, anchor), "rid long, th long, start int, n int, anchor long, path long"), folder, "blocks")
-    often = blocks.groupBy("anchor").agg(F.count("*").alias("c"), F.min("path").alias("low"), F.max("path").alias("high")).where("c > 1")
-    # written first, so that both sides of the join are plain exchanges and a hot anchor's rows can be split
-    often = materialise(often.select("anchor", (F.col("low") != F.col("high")).alias("branch")), folder, "often")
-    shared = materialise(blocks.join(often, "anchor"), folder, "shared")
+    # any member will do as the source of its class; the table is written, so that later reads agree on it
+    at = [F.first(c).alias(c) for c in ("rid", "th", "start", "n")]
+    classes = materialise(blocks.groupBy("anchor", "path").agg(F.count("*").alias("c"), *at), folder, "classes")
+    repeated = classes.where("c > 1").select("anchor", "path")
+    whole = materialise(blocks.join(repeated, ["anchor", "path"], "left_semi").select("rid", "th", "start", "n"), folder, "whole")
     discard(spark, folder, "blocks")
-    straight, fork = shared.where("not branch"), shared.where("branch")
-    variants = materialise(fork.groupBy("anchor", "path").agg(F.count("*").alias("c"), F.min(F.struct("rid", "th", "start", "n")).alias("at")), folder, "variants")
-    whole = fork.join(variants.where("c > 1").select("anchor", "path"), ["anchor", "path"], "left_semi")
-    sources = variants.groupBy(F.col("at.rid").alias("rid"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "anchor", (F.col("c") > 1).alias("known"))).alias("variants"))
+    forks = classes.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor")
+    variants = materialise(classes.join(forks, "anchor", "left_semi"), folder, "variants")
+    discard(spark, folder, "classes")
+    sources = variants.groupBy("rid", "th").agg(F.collect_list(F.struct("start", "n", "anchor", (F.col("c") > 1).alias("known"))).alias("variants"))
     met = rows.join(sources, ["rid", "th"]).select("rid", "th", "text", "variants")
     edges = materialise(met.mapInArrow(variant_windows(window), "anchor long, edge long, rid long, th long, start int, known boolean"), folder, "edges")
     twice = edges.groupBy("anchor", "edge").agg(F.count("*").alias("c")).where("c > 1").select("anchor", "edge")
     single = edges.where("not known").join(twice, ["anchor", "edge"], "left_semi").withColumn("n", F.lit(1))
     cols = ["rid", "th", "start", "n"]
-    found = straight.select(*cols).unionAll(whole.select(*cols)).unionAll(single.select(*cols))
+    found = whole.unionAll(single.select(*cols))
     return found.groupBy("rid", "th").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
 
