@@ -4,10 +4,12 @@ Edges of the graph are the windows of `window` consecutive words of one document
 one anchor (the smallest hash among the `anchor`-word grams inside the window, leftmost on ties) follow each other without
 a branch that the anchor can't see; they compact to one block, the path from the first to the last of these windows. Equal
 windows have equal anchors at equal places, so a repeat is found among the blocks of one anchor, and about one row per
-fourteen words travels instead of one per word.
+fourteen words travels instead of one per word. Where a document repeats a few words over and over, equal blocks follow each
+other without a gap; such a cycle is one row with the number of its rounds, however long it is.
 
 Spark joins then tell the cases apart:
-1. equal blocks are one class, summed before they travel; a class that occurs twice is a path that repeats as a whole;
+1. equal blocks are one class, their rounds summed before they travel; a class that occurs twice is a path that repeats as a
+   whole;
 2. an anchor with one class doesn't branch: nothing else repeats there;
 3. at the other anchors (branches) one source coordinate for each class leads back to its text, where its single windows
    are hashed anew; a window that two classes share is a repeat.
@@ -75,7 +77,7 @@ def long(x: np.ndarray) -> pa.Array:
 
 
 def compact(window: int, anchor: int, block_words: int = 600_000):
-    """Rows (rid, th, text) to blocks (rid, th, start, n, anchor, path)."""
+    """Rows (rid, th, text) to blocks (rid, th, start, n, rounds, anchor, path); a block stands for `rounds` equal ones in a row."""
 
     def blocks(keys: list[tuple], hashes: list[np.ndarray]) -> pa.RecordBatch:
         lens = np.array([len(h) for h in hashes])
@@ -94,8 +96,13 @@ def compact(window: int, anchor: int, block_words: int = 600_000):
         s, a, doc = start[head], a[head], doc[head]
         with np.errstate(over="ignore"):
             path = mix(Segments(h).of(s, s + n - 1 + window) + (a - s).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+        same = np.logical_and.reduce([x[1:] == x[:-1] for x in (doc, n, grams[a], path)])
+        head = np.flatnonzero(np.concatenate([[True], ~same]))
+        rounds = np.diff(np.concatenate([head, [len(doc)]]))
+        s, a, n, doc, path = (x[head] for x in (s, a, n, doc, path))
         rid, th = (np.array([k[i] for k in keys], dtype=np.int64)[doc] for i in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(th), pa.array((s - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), long(grams[a]), long(path)], ["rid", "th", "start", "n", "anchor", "path"])
+        small = [pa.array(x.astype(np.int32)) for x in (s - first[doc], n, rounds)]
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(th), *small, long(grams[a]), long(path)], ["rid", "th", "start", "n", "rounds", "anchor", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[tuple] = []
@@ -149,12 +156,12 @@ def repeated_spans(docs: DataFrame, folder: str, window: int = 35, anchor: int =
     """(rid, th, spans): for each text with repeats, the runs of repeated window starts as (start, n)."""
     spark = docs.sparkSession
     rows = keyed(docs)
-    blocks = materialise(rows.mapInArrow(compact(window, anchor), "rid long, th long, start int, n int, anchor long, path long"), folder, "blocks")
+    blocks = materialise(rows.mapInArrow(compact(window, anchor), "rid long, th long, start int, n int, rounds int, anchor long, path long"), folder, "blocks")
     # any member will do as the source of its class; the table is written, so that later reads agree on it
     at = [F.first(c).alias(c) for c in ("rid", "th", "start", "n")]
-    classes = materialise(blocks.groupBy("anchor", "path").agg(F.count("*").alias("c"), *at), folder, "classes")
+    classes = materialise(blocks.groupBy("anchor", "path").agg(F.sum("rounds").alias("c"), *at), folder, "classes")
     repeated = classes.where("c > 1").select("anchor", "path")
-    whole = materialise(blocks.join(repeated, ["anchor", "path"], "left_semi").select("rid", "th", "start", "n"), folder, "whole")
+    whole = materialise(blocks.join(repeated, ["anchor", "path"], "left_semi").select("rid", "th", "start", (F.col("n") * F.col("rounds")).alias("n")), folder, "whole")
     discard(spark, folder, "blocks")
     forks = classes.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor")
     variants = materialise(classes.join(forks, "anchor", "left_semi"), folder, "variants")
