@@ -124,8 +124,28 @@ def gather(rows: DataFrame, trusted: np.ndarray, fan_in: int = 16) -> tuple[Mome
     return (Moments.unpack(got[0][0]), Moments.unpack(got[0][1])) if got else (Moments(), Moments())
 
 
+def inverse(a: np.ndarray) -> np.ndarray:
+    """Of a positive definite matrix, by Gauss-Jordan steps (which need no pivots there)."""
+    a = a.copy()
+    for k in range(len(a)):
+        col, row = a[:, k].copy(), a[k] / a[k, k]
+        a -= np.multiply.outer(col, row)
+        a[:, k] = -col / col[k]
+        a[k] = row
+        a[k, k] = 1 / col[k]
+    return a
+
+
+def times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,j->i", a, x)
+
+
 def fit_nnpu(positive: Moments, unlabelled: Moments, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 0.1) -> np.ndarray:
-    """Weights (last: bias) of the non-negative PU risk with the squared loss; steps are scaled by the risk's own curvature."""
+    """Weights (last: bias) of the non-negative PU risk with the squared loss; steps are scaled by the risk's own curvature.
+
+    It runs on the driver, where a threaded BLAS can wait for its own threads for good, so matrices are multiplied and
+    inverted without one.
+    """
     mean = unlabelled.total / unlabelled.n
     std = np.maximum(np.sqrt(np.maximum(np.diag(unlabelled.product) / unlabelled.n - mean**2, 0)), 1e-3)
 
@@ -137,13 +157,14 @@ def fit_nnpu(positive: Moments, unlabelled: Moments, prior: float, steps: int =
         return first, np.block([[product, centre[:, None]], [first[None, :]]])
 
     (mu, gu), (mp, gp) = standard(unlabelled), standard(positive)
-    curve = np.linalg.inv(gu / 2 + decay * np.eye(len(mu)))
+    curve = inverse(gu / 2 + decay * np.eye(len(mu)))
     w = np.zeros(len(mu))
     for _ in range(steps):
-        on_unlabelled, on_positive = (1 + 2 * mu @ w + w @ gu @ w) / 4, (1 + 2 * mp @ w + w @ gp @ w) / 4
-        negative = (mu + gu @ w) / 2 - prior * (mp + gp @ w) / 2
-        grad = prior * (gp @ w - mp) / 2 + negative + decay * w if on_unlabelled >= prior * on_positive else -negative
-        w = w - rate * curve @ grad
+        uw, pw = times(gu, w), times(gp, w)
+        on_unlabelled, on_positive = (1 + 2 * mu @ w + w @ uw) / 4, (1 + 2 * mp @ w + w @ pw) / 4
+        negative = (mu + uw) / 2 - prior * (mp + pw) / 2
+        grad = prior * (pw - mp) / 2 + negative + decay * w if on_unlabelled >= prior * on_positive else -negative
+        w = w - rate * times(curve, grad)
     scaled = w[:-1] / std
     return np.append(scaled, w[-1] - scaled @ mean)
 
